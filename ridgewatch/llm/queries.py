@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgewatch.llm import bpe
+from ridgewatch.llm import bpe, chat, pii
 from ridgewatch.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,7 +19,23 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = public_tokenizers.path(RANKS)
+    return chat.read_back(chat.assemble(rows, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op4_chat_format": op4_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
