@@ -13,6 +13,7 @@ Defined results: null text is empty text; repeated rows are searched each; spans
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import product
 
@@ -214,13 +215,15 @@ def redact(text: Column, spans: Column) -> Column:
     )
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def digests(documents: DataFrame) -> DataFrame:
     """Per document: the counts of the base kinds, the digest of the base spans, and all spans as text."""
     found = find_spans(documents)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    count = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS
-    ]
+    count = [F.array_size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select(
         "doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
