@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ridgewatch.llm.common import map_batches
 
 #: Bounds of a worker's memo tables; a full table starts anew, results don't depend on them.
-PIECE_MEMO, PAIR_MEMO = 400_000, 1_000_000
+PIECE_MEMO, PAIR_MEMO = 200_000, 400_000
 #: Longer pieces aren't memoised, so that the table's bytes are bounded too.
 PIECE_MEMO_BYTES = 64
 
@@ -153,6 +153,12 @@ class Codec:
         return b"".join([self.tokens[i] for i in ids])
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    return {rank: token for token, rank in load_ranks(path).items()}
+
+
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     """A worker's codec of a rank file, built once per process."""
@@ -185,12 +191,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return map_batches(df, run, _extended(df, ids, T.BinaryType()))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ids stand for; null ids are no ids."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(path, pattern)
-        made = [own.decode(unpack(b or b"")) for b in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+        tokens = vocabulary(path)
+        packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+        made = [b"".join([tokens[i] for i in unpack(b or b"")]) for b in packed]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
 
     return map_batches(df, run, _extended(df, out, T.BinaryType()))
@@ -199,7 +206,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: n_tokens, the digest of its ids and that of the bytes decoded from them."""
     texts = documents.select("doc_id", "text")
-    coded = decode(encode(texts, path, pattern).drop("text"), path, pattern)
+    coded = decode(encode(texts, path, pattern).drop("text"), path)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that separate words in most contracts: space and x09 to x0D, which bytes.split() uses too.
 WORD_SPACES = b" \t\n\x0b\x0c\r"
+#: Rows that a worker turns into Python objects at once.
+SLICE_ROWS = 500
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -39,12 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over single record batches."""
+    """mapInArrow over slices of record batches; a slice bounds what a worker holds as Python objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield fn(batch.slice(start, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 
