@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgewatch.llm import bpe, chat, pii
+from ridgewatch.llm import bpe, chat, pii, quality_model, quality_rules
 from ridgewatch.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,10 +33,20 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.assemble(rows, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_chat_format": op4_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
