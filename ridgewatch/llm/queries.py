@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgewatch.llm import bpe, chat, decontaminate, pii, quality_model, quality_rules, secrets
+from ridgewatch.llm import bpe, chat, decontaminate, ngram_join, pii, quality_model, quality_rules, secrets
 from ridgewatch.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -52,6 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii": op2_pii,
+    "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,
