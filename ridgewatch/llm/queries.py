@@ -7,10 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgewatch.llm import bpe, chat, decontaminate, ngram_join, pii, quality_model, quality_rules, secrets
+from ridgewatch.llm import (
+    bpe, chat, decontaminate, license_scan, ngram_join, pii, quality_model, quality_rules, secrets, token_output,
+)
 from ridgewatch.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The key of the training order.
+ORDER_KEY = 20_240_229
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.materialised(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, key=ORDER_KEY
+    )
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +59,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.document_paths(table(spark, sf_dir, "documents")), key="doc_id")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,9 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
+    "op5_token_output": op5_token_output,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
