@@ -91,27 +91,35 @@ def set_ids(documents: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return map_batches(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n bigint, sid binary")
 
 
-# A packed segment row holds some n-grams of many sets: sids (16 bytes each), sizes (of the whole sets), runs (how many
-# n-grams follow for each) and grams. part says where it goes: fragments first, then as many collecting parts.
+# A packed segment row holds some n-grams of many sets: a key for each set (KEY_BYTES of its id), runs (how many n-grams
+# follow for it, 2 bytes) and grams. Only the collecting parts need whole ids and sizes, so these come once for each set
+# and chunk, in directory rows without runs. part says where a row goes: fragments first, then as many collecting parts.
 _SEGMENTS = "part int, sids binary, sizes binary, runs binary, grams binary"
 _NAMES = ["part", "sids", "sizes", "runs", "grams"]
+#: 80 bits: with 10**10 sets, two share a key with a chance of 4 in 100,000; then the collecting part stops the job.
+KEY_BYTES, LONGEST_RUN = 10, (1 << 16) - 1
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
     return (grams >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)
 
 
-def _collector(sids: np.ndarray, parts: int) -> np.ndarray:
-    """The collecting part of each set. sids: n x 2 numbers."""
-    return sids[:, 0] % np.uint64(parts)
+def _collector(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The collecting part of each set. keys: n x 2 numbers, of which the first are the ids' first 8 bytes."""
+    return (keys[:, 0] % np.uint64(parts)).astype(np.int64)
 
 
-def _pack(part: int, sids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> tuple:
-    """owner: for each n-gram the row of its set in sids; equal owners are next to each other."""
+def _pack(part: int, keys: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> tuple:
+    """owner: for each n-gram the row of its set in keys; equal owners are next to each other."""
     starts = np.nonzero(np.diff(owner, prepend=-1))[0]
-    own = owner[starts]
-    runs = np.diff(np.append(starts, len(owner)))
-    return part, sids[own].tobytes(), sizes[own].astype("<u4").tobytes(), runs.astype("<u4").tobytes(), grams.tobytes()
+    own, runs = owner[starts], np.diff(np.append(starts, len(owner)))
+    pieces = -(-runs // LONGEST_RUN)
+    if (pieces > 1).any():
+        own, rest = np.repeat(own, pieces), runs - (pieces - 1) * LONGEST_RUN
+        ends = np.cumsum(pieces) - 1
+        runs = np.full(len(own), LONGEST_RUN)
+        runs[ends] = rest
+    return part, keys.view(np.uint8)[own, :KEY_BYTES].tobytes(), b"", runs.astype("<u2").tobytes(), grams.tobytes()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -131,6 +139,14 @@ def _low(grams: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
 
+def _wide(packed: bytes, size: int, to: int) -> np.ndarray:
+    """Rows of size bytes as rows of little-endian numbers of to bytes in all."""
+    rows = np.frombuffer(packed, dtype=np.uint8).reshape(-1, size)
+    out = np.zeros((len(rows), to), dtype=np.uint8)
+    out[:, :size] = rows
+    return out.view("<u8")
+
+
 def _cut_chunk(sets: dict[bytes, np.ndarray], fragments: int) -> list[tuple]:
     """Segment rows of a chunk's sets.
 
@@ -149,18 +165,33 @@ def _cut_chunk(sets: dict[bytes, np.ndarray], fragments: int) -> list[tuple]:
     order = np.argsort(place, kind="stable")
     for part, start, end in _bounds(place[order].astype(np.int64)):
         mine = order[start:end]
-        rows.append(_pack(part, sids, sizes, single_owner[mine], _low(single[mine])))
+        rows.append(_pack(part, sids, single_owner[mine], _low(single[mine])))
     for part, start, end in _bounds(known_place.astype(np.int64)):
         rows.append((part, b"", b"", b"", _low(known[start:end]).tobytes()))
     common, common_owner = grams[shared], owner[shared]
-    place = _collector(sids, fragments)[common_owner].astype(np.int64)
+    collector = _collector(sids, fragments)
+    place = collector[common_owner]
     order = np.argsort(place, kind="stable")
     for part, start, end in _bounds(place[order]):
         mine = order[start:end]
-        rows.append(_pack(fragments + part, sids, sizes, common_owner[mine], common[mine]))
+        rows.append(_pack(fragments + part, sids, common_owner[mine], common[mine]))
+    order = np.argsort(collector, kind="stable")
+    for part, start, end in _bounds(collector[order]):
+        mine = order[start:end]
+        rows.append((fragments + part, sids[mine].tobytes(), sizes[mine].astype("<u4").tobytes(), b"", b""))
     return rows
 
 
+def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each distinct row of two numbers, and the number of each row's distinct one; sorted."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[order][1:] != rows[order][:-1]).any(axis=1)
+    number = np.empty(len(rows), dtype=np.int32)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
+
+
 def _unique_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs, sorted."""
     order = np.lexsort((second, first))
@@ -170,21 +201,13 @@ def _unique_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np
     return first[keep], second[keep]
 
 
-def _unpack(rows: list[tuple], gram_bytes: int) -> tuple[np.ndarray, ...]:
-    """Of segment rows of one part: distinct sids, their sizes, and for each n-gram the row of its set and itself."""
-    raw = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u8").reshape(-1, 2)
-    sizes = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4")
-    runs = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4")
-    packed = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, gram_bytes)
-    wide = np.zeros((len(packed), 8), dtype=np.uint8)
-    wide[:, :gram_bytes] = packed
-    order = np.lexsort((raw[:, 1], raw[:, 0]))
-    fresh = np.ones(len(raw), dtype=bool)
-    fresh[1:] = (raw[order][1:] != raw[order][:-1]).any(axis=1)
-    number = np.empty(len(raw), dtype=np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    first = order[fresh]
-    return raw[first], sizes[first], np.repeat(number, runs), wide.view("<u8").reshape(-1)
+def _unpack(rows: list[tuple], gram_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segment rows of one part: the distinct keys, and for each n-gram the row of its set and itself."""
+    keys = _wide(b"".join(r[1] for r in rows), KEY_BYTES, 16)
+    runs = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u2")
+    first, number = _distinct_rows(keys)
+    grams = _wide(b"".join(r[4] for r in rows), gram_bytes, 8).reshape(-1)
+    return keys[first], np.repeat(number, runs), grams
 
 
 def _count_fragment(part: int, rows: list[tuple], fragments: int) -> list[tuple]:
@@ -193,24 +216,30 @@ def _count_fragment(part: int, rows: list[tuple], fragments: int) -> list[tuple]
     rows = [r for r in rows if r[1]]
     if not rows:
         return []
-    sids, sizes, owner, grams = _unpack(rows, 6)
-    distinct, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
-    shared = np.zeros(len(distinct), dtype=bool)
-    shared[inverse[owner != owner[first][inverse]]] = True
+    keys, owner, grams = _unpack(rows, 6)
+    rows.clear()
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    del order
+    # Equal n-grams are next to each other now; one is shared if its sets differ somewhere in its run.
+    fresh = np.ones(len(grams), dtype=bool)
+    fresh[1:] = grams[1:] != grams[:-1]
+    run = np.cumsum(fresh, dtype=np.int32) - 1
+    shared = np.zeros(int(run[-1]) + 1, dtype=bool)
+    shared[run[1:][~fresh[1:] & (owner[1:] != owner[:-1])]] = True
     if known:
-        marks = _unpack(known, 6)[3]
+        distinct = grams[fresh]
+        marks = _wide(b"".join(r[4] for r in known), 6, 8).reshape(-1)
         at = np.minimum(np.searchsorted(distinct, marks), len(distinct) - 1)
         shared[at[distinct[at] == marks]] = True
-    keep = shared[inverse]
-    pair = np.unique(owner[keep] * len(distinct) + inverse[keep])  # a set may come from several chunks
-    owner, grams = pair // len(distinct), distinct[pair % len(distinct)]
+        del distinct
+    keep = shared[run]
+    owner, grams = _unique_pairs(owner[keep], grams[keep])  # a set may come from several chunks
     # The high 16 bits are lost but for the fragment, so n-grams are known by fragment and low bits from here on.
     grams = grams | np.uint64(part % (1 << 16)) << np.uint64(48)
-    place = _collector(sids, fragments)[owner].astype(np.int64)
+    place = _collector(keys, fragments)[owner]
     order = np.argsort(place, kind="stable")
-    return [
-        _pack(fragments + to, sids, sizes, owner[order[a:b]], grams[order[a:b]]) for to, a, b in _bounds(place[order])
-    ]
+    return [_pack(fragments + to, keys, owner[order[a:b]], grams[order[a:b]]) for to, a, b in _bounds(place[order])]
 
 
 def _rename(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -219,13 +248,27 @@ def _rename(grams: np.ndarray, fragments: int) -> np.ndarray:
     return grams & np.uint64((1 << 48) - 1) | part << np.uint64(48)
 
 
+def _directory(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sets of directory rows, sorted by key, and their sizes."""
+    sids = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u8").reshape(-1, 2)
+    sizes = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4")
+    first, _ = _distinct_rows(sids)
+    return sids[first], sizes[first]
+
+
+def _cut_keys(sids: np.ndarray) -> np.ndarray:
+    """The keys of whole ids."""
+    return sids & np.array([(1 << 64) - 1, (1 << 8 * (KEY_BYTES - 8)) - 1], dtype=np.uint64)
+
+
 def by_part(fn: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> Callable:
-    """A mapInArrow function over rows sorted by their first column, called for each of its values."""
+    """A mapInArrow function called for each value of the first column; equal values are next to each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                row = tuple(c[k].as_py() for c in batch.columns)
                 if rows and row[0] != part:
                     yield from fn(part, rows)
                     rows = []
@@ -238,7 +281,8 @@ def by_part(fn: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> Calla
 
 
 def _dealt(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "part").sortWithinPartitions("part")
+    """Each part in a partition of its own: no two large parts meet in a task, and nothing is sorted."""
+    return df.repartitionById(parts, F.col("part"))
 
 
 def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, text: str) -> DataFrame:
@@ -265,18 +309,32 @@ def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, te
         if part < fragments:
             yield _batch(_count_fragment(part, rows, fragments))
             return
-        sids, sizes, owner, grams = _unpack(rows, 8)
-        owner, grams = _unique_pairs(owner, _rename(grams, fragments))
-        yield _batch([_pack(part, sids, sizes, owner, grams)])
+        sids, sizes = _directory([r for r in rows if r[2]])
+        out = [(part, sids.tobytes(), sizes.tobytes(), b"", b"")]
+        if common := [r for r in rows if not r[2]]:
+            keys, owner, grams = _unpack(common, 8)
+            out.append(_pack(part, keys, *_unique_pairs(owner, _rename(grams, fragments))))
+        yield _batch(out)
 
     def collect(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sids, sizes, owner, grams = _unpack(rows, 8)
-        owner, grams = _unique_pairs(owner, grams)
+        sids, sizes = _directory([r for r in rows if r[2]])
         out = []
-        for row, start, end in _bounds(owner):
-            n = int(sizes[row])
-            if end - start >= needed(n, similarity):
-                out.append((sids[row].tobytes(), n, n - (end - start), grams[start:end].tobytes()))
+        if shared := [r for r in rows if not r[2]]:
+            keys, owner, grams = _unpack(shared, 8)
+            # Every key is that of a set in the directory; both are sorted, so the sets with n-grams line up.
+            first, number = _distinct_rows(_cut_keys(sids))
+            if len(first) < len(sids):
+                raise ValueError("two sets share a key: raise KEY_BYTES")
+            sids, sizes = sids[first], sizes[first]
+            _, both = _distinct_rows(np.concatenate([_cut_keys(sids), keys]))
+            at = np.empty(both.max() + 1, dtype=np.int64)
+            at[both[: len(sids)]] = np.arange(len(sids))
+            row_of = at[both[len(sids) :]]
+            owner, grams = _unique_pairs(row_of[owner], grams)
+            for row, start, end in _bounds(owner):
+                n = int(sizes[row])
+                if end - start >= needed(n, similarity):
+                    out.append((sids[row].tobytes(), n, n - (end - start), grams[start:end].tobytes()))
         columns = list(zip(*out)) if out else [()] * 4
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays(
@@ -284,7 +342,8 @@ def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, te
         )
 
     segments = _dealt(texts.mapInArrow(cut, _SEGMENTS), 2 * fragments)
-    partial = _dealt(segments.mapInArrow(by_part(count), _SEGMENTS), fragments)
+    collecting = segments.mapInArrow(by_part(count), _SEGMENTS).withColumn("part", F.col("part") - fragments)
+    partial = _dealt(collecting, fragments)
     return partial.mapInArrow(by_part(collect), "sid binary, n bigint, own bigint, grams binary")
 
 
