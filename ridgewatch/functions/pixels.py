@@ -8,6 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_STATISTICS = T.StructType(
+    [*(T.StructField(c, T.DoubleType()) for c in ("sharpness", "brightness", "contrast")), T.StructField("nonzero", T.LongType())]
+)
+_DIFFERENCE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("changed_share", "mean_difference")])
 
 
 def grey(data: bytes, width: int) -> np.ndarray:
@@ -33,7 +39,7 @@ def thermal_delta(image: np.ndarray, box: tuple[float, float, float, float]) ->
     return round(float(image[y1:y2, x1:x2].mean() - region.mean()), 2)
 
 
-@F.pandas_udf("struct<sharpness:double,brightness:double,contrast:double,nonzero:bigint>")
+@F.pandas_udf(_STATISTICS)
 def image_statistics(data: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Sharpness, mean, population deviation and the number of pixels that aren't zero of grey images."""
     rows = []
@@ -46,7 +52,7 @@ def image_statistics(data: pd.Series, width: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["sharpness", "brightness", "contrast", "nonzero"])
 
 
-@F.pandas_udf("struct<changed_share:double,mean_difference:double>")
+@F.pandas_udf(_DIFFERENCE)
 def image_difference(data: pd.Series, before: pd.Series) -> pd.DataFrame:
     """The share of pixels that differ by more than 25 and the mean difference of two grey images of equal size."""
     rows = []
@@ -59,7 +65,7 @@ def image_difference(data: pd.Series, before: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["changed_share", "mean_difference"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def thermal_deltas(data: pd.Series, width: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
     return pd.Series(
         [
