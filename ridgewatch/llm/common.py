@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPACES = b" \t\n\x0b\x0c\r"
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 500
+#: Row groups of stored tables: a writer holds one, and texts make them large.
+ROW_GROUP_BYTES = 32 << 20
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -32,10 +35,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared store and reads it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,10 +58,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 yield fn(batch.slice(start, SLICE_ROWS))
+        give_back_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back_memory() -> None:
+    """Returns what a worker has freed to the system: workers wait for their next task, often of another stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null is empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.common import store
+from ridgewatch.llm.common import fresh, store
 
 #: Words of a window.
 WINDOW = 13
@@ -199,8 +199,9 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
+    bad_id, bad_text = fresh(documents, "bad_id"), fresh(documents, "bad_text")
     bad = report(documents, benchmark).where("contaminated").select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")
+        F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_text)
     ).distinct()
-    on = documents["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(documents["text"]) == F.col("_bad_text"))
+    on = documents["doc_id"].eqNullSafe(F.col(bad_id)) & (F.xxhash64(documents["text"]) == F.col(bad_text))
     return documents.join(bad, on, "left_anti")

@@ -66,7 +66,7 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Forest:
     thresholds = np.full((TREES, nodes), np.inf)
     leaves = np.zeros((TREES, nodes + 1))
     base = float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
-    if not 0 < mean < 1:
+    if not len(labels) or not 0 < mean < 1:
         return Forest(base, features, thresholds, leaves)
     edges = [_edges(column) for column in rows.T]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, rows.T)], axis=1)
@@ -83,7 +83,10 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Forest:
                 if not len(bounds):
                     continue
                 cell = local * BINS + binned[:, f]
-                g, h = (np.bincount(cell, weights=w, minlength=width * BINS).reshape(width, BINS).cumsum(axis=1) for w in (gradient, hessian))
+                g, h = (
+                    np.bincount(cell, weights=w, minlength=width * BINS).reshape(width, BINS).cumsum(axis=1)
+                    for w in (gradient, hessian)
+                )
                 g_all, h_all = g[:, -1:], h[:, -1:]
                 gain = g**2 / (h + L2) + (g_all - g) ** 2 / (h_all - h + L2) - g_all**2 / (h_all + L2)
                 gain[(h < LEAST_HESSIAN) | (h_all - h < LEAST_HESSIAN)] = 0

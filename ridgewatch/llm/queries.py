@@ -11,6 +11,9 @@ from ridgewatch.llm import (
     bpe, chat, decontaminate, license_scan, ngram_join, pii, quality_model, quality_rules, secrets, token_output,
 )
 from ridgewatch.llm.common import table
+from ridgewatch.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: The key of the training order.
@@ -48,11 +51,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     path = public_tokenizers.path(RANKS)
-    return chat.read_back(chat.assemble(rows, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    out = chat.read_back(chat.assemble(rows, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return out.drop("n_tokens")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "n_near")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.common import scratch_dir
+from ridgewatch.llm.common import fresh, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -192,13 +192,18 @@ def spans_of_blobs(ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def scan_history(
     versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, content: str = "content"
 ) -> DataFrame:
-    """versions, without their content, with blob and spans added; brings the ledger up to date first."""
+    """versions, without their content, with blob and spans added (in place of columns of these names).
+
+    Brings the ledger up to date first.
+    """
     update(versions.select(F.col(content).alias("content")), ledger, rules)
-    paths = versions.select(*[c for c in versions.columns if c != content], blob_id(F.col(content)).alias("blob"))
-    spans = spans_of_blobs(ledger, rules).withColumnRenamed("blob", "of_blob")
+    stay = [c for c in versions.columns if c not in (content, "blob", "spans")]
+    paths = versions.select(*[F.col(f"`{c}`") for c in stay], blob_id(F.col(content)).alias("blob"))
+    of_blob = fresh(versions, "of_blob")
+    spans = spans_of_blobs(ledger, rules).withColumnRenamed("blob", of_blob)
     none = F.array().cast(spans.schema["spans"].dataType)
     return (
-        paths.join(spans, F.col("blob") == F.col("of_blob"), "left").drop("of_blob")
+        paths.join(spans, F.col("blob") == F.col(of_blob), "left").drop(of_blob)
         .withColumn("spans", F.coalesce("spans", none))
     )
 
@@ -248,12 +253,13 @@ def without_secrets(documents: DataFrame, ledger_folder: str | None = None) -> D
     spark = documents.sparkSession
     ledger = Ledger(spark, ledger_folder or scratch_dir(spark, "secret-ledger"))
     update(documents.select(F.col("text").alias("content")), ledger)
-    spans = spans_of_blobs(ledger).select(F.col("blob").alias("_of_blob"), F.col("spans").alias("_spans"))
-    found = documents.join(spans, blob_id(documents["text"]) == F.col("_of_blob"), "left")
-    text = redacted(F.col("text"), F.coalesce("_spans", F.array().cast(spans.schema["_spans"].dataType)))
-    out = found.withColumn("_text", text)
-    kept = {"text": F.col("_text").alias("text")}
+    blob, found, new = (fresh(documents, stem) for stem in ("of_blob", "found_spans", "new_text"))
+    spans = spans_of_blobs(ledger).select(F.col("blob").alias(blob), F.col("spans").alias(found))
+    met = documents.join(spans, blob_id(documents["text"]) == F.col(blob), "left")
+    none = F.array().cast(spans.schema[found].dataType)
+    out = met.withColumn(new, redacted(F.col("text"), F.coalesce(found, none)))
+    kept = {"text": F.col(new).alias("text")}
     if "n_chars" in documents.columns:
-        count = F.when(F.size("_spans") > 0, F.char_length("_text").cast("bigint")).otherwise(F.col("n_chars"))
+        count = F.when(F.size(found) > 0, F.char_length(new).cast("bigint")).otherwise(F.col("n_chars"))
         kept["n_chars"] = count.cast(documents.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*[kept.get(c, F.col(f"`{c}`")) for c in documents.columns])
