@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.common import LOWER_ASCII, map_batches, store, utf8
+from ridgewatch.llm.common import LOWER_ASCII, fresh, give_back_memory, map_batches, store, utf8
 
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-FRAGMENT_TOKENS, CHUNK_TOKENS, GROUP_TOKENS = 3_000_000, 1_000_000, 4_000_000
+FRAGMENT_TOKENS, CHUNK_TOKENS, GROUP_TOKENS = 4_000_000, 1_000_000, 4_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15 * k | 1 for k in range(3, 99, 2)], dtype=object) % (1 << 64)
 
 
@@ -96,6 +96,8 @@ def set_ids(documents: DataFrame, size: int, key: str, text: str) -> DataFrame:
 # and chunk, in directory rows without runs. part says where a row goes: fragments first, then as many collecting parts.
 _SEGMENTS = "part int, sids binary, sizes binary, runs binary, grams binary"
 _NAMES = ["part", "sids", "sizes", "runs", "grams"]
+#: Pieces in which a task goes through its fragment.
+SLICES = 4
 #: 80 bits: with 10**10 sets, two share a key with a chance of 4 in 100,000; then the collecting part stops the job.
 KEY_BYTES, LONGEST_RUN = 10, (1 << 16) - 1
 
@@ -210,31 +212,44 @@ def _unpack(rows: list[tuple], gram_bytes: int) -> tuple[np.ndarray, np.ndarray,
     return keys[first], np.repeat(number, runs), grams
 
 
-def _count_fragment(part: int, rows: list[tuple], fragments: int) -> list[tuple]:
-    """The shared n-grams of a fragment, dealt to the collecting parts of their sets."""
-    known = [r for r in rows if not r[1]]
-    rows = [r for r in rows if r[1]]
-    if not rows:
-        return []
-    keys, owner, grams = _unpack(rows, 6)
-    rows.clear()
+def _shared_of(owner: np.ndarray, grams: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Owner and n-gram of the n-grams that have several owners or are in marks; each pair once, sorted."""
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
-    del order
     # Equal n-grams are next to each other now; one is shared if its sets differ somewhere in its run.
-    fresh = np.ones(len(grams), dtype=bool)
-    fresh[1:] = grams[1:] != grams[:-1]
-    run = np.cumsum(fresh, dtype=np.int32) - 1
+    fresh_run = np.ones(len(grams), dtype=bool)
+    fresh_run[1:] = grams[1:] != grams[:-1]
+    run = np.cumsum(fresh_run, dtype=np.int32) - 1
     shared = np.zeros(int(run[-1]) + 1, dtype=bool)
-    shared[run[1:][~fresh[1:] & (owner[1:] != owner[:-1])]] = True
-    if known:
-        distinct = grams[fresh]
-        marks = _wide(b"".join(r[4] for r in known), 6, 8).reshape(-1)
+    shared[run[1:][~fresh_run[1:] & (owner[1:] != owner[:-1])]] = True
+    if len(marks):
+        distinct = grams[fresh_run]
         at = np.minimum(np.searchsorted(distinct, marks), len(distinct) - 1)
         shared[at[distinct[at] == marks]] = True
-        del distinct
     keep = shared[run]
-    owner, grams = _unique_pairs(owner[keep], grams[keep])  # a set may come from several chunks
+    return _unique_pairs(owner[keep], grams[keep])  # a set may come from several chunks
+
+
+def _count_fragment(part: int, rows: list[tuple], fragments: int) -> list[tuple]:
+    """The shared n-grams of a fragment, dealt to the collecting parts of their sets. Empties rows.
+
+    The fragment's own range is gone through in SLICES pieces, so that sorting needs a fraction of its size.
+    """
+    marks = _wide(b"".join(r[4] for r in rows if not r[1]), 6, 8).reshape(-1)
+    segments = [r for r in rows if r[1]]
+    rows.clear()
+    if not segments:
+        return []
+    keys, owner, grams = _unpack(segments, 6)
+    segments.clear()
+    found = []
+    piece, mark_piece = ((x % np.uint64(SLICES)).astype(np.uint8) for x in (grams, marks))
+    for k in range(SLICES):
+        mine = piece == k
+        if mine.any():
+            found.append(_shared_of(owner[mine], grams[mine], marks[mark_piece == k]))
+    del piece, owner, grams
+    owner, grams = _unique_pairs(*(np.concatenate(x) for x in zip(*found)))
     # The high 16 bits are lost but for the fragment, so n-grams are known by fragment and low bits from here on.
     grams = grams | np.uint64(part % (1 << 16)) << np.uint64(48)
     place = _collector(keys, fragments)[owner]
@@ -274,8 +289,10 @@ def by_part(fn: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> Calla
                     rows = []
                 part = row[0]
                 rows.append(row)
+            batch = row = None  # what follows may need the room
         if rows:
             yield from fn(part, rows)
+        give_back_memory()
 
     return run
 
@@ -304,6 +321,7 @@ def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, te
                         sets, tokens = {}, 0
         if sets:
             yield _batch(_cut_chunk(sets, fragments))
+        give_back_memory()
 
     def count(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if part < fragments:
@@ -482,6 +500,7 @@ def near_duplicates(
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents with one row of each component, that with the smallest key; rows with a null key stay."""
     joined = near_duplicates(documents, key=key, text=text)
-    stay = joined.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stay")).distinct()
-    kept = documents.where(F.col(key).isNotNull()).join(stay, F.col(key) == F.col("_stay"), "left_semi")
+    own = fresh(documents, "stay")
+    stay = joined.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(own)).distinct()
+    kept = documents.where(F.col(key).isNotNull()).join(stay, F.col(key) == F.col(own), "left_semi")
     return kept.unionByName(documents.where(F.col(key).isNull()))
