@@ -15,6 +15,7 @@ Defined results: null text is empty text and has no tokens; repeated rows are en
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -174,39 +175,53 @@ def unpack(data: bytes) -> list[int]:
     return np.frombuffer(data, dtype="<u4").tolist()
 
 
-def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"{name} is already a column")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _adding(df: DataFrame, source: str, makers: dict[str, Callable[[list], list]]) -> DataFrame:
+    """df with binary columns made from source, in place of columns of their names; each maker gets the last one's."""
+    df = df.drop(*makers)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.BinaryType()) for name in makers)])
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, columns = batch.column(batch.schema.get_field_index(source)).to_pylist(), []
+        for make in makers.values():
+            values = make(values)
+            columns.append(pa.array(values, pa.binary()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *makers])
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of a text column, packed as little-endian unsigned 32-bit integers."""
+    return map_batches(df, run, schema)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(path, pattern)
-        out = [pack(own.encode(t or "")) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, ids])
 
-    return map_batches(df, run, _extended(df, ids, T.BinaryType()))
+def _encoder(path: str, pattern: str) -> Callable[[list], list]:
+    return lambda texts: [pack(codec(path, pattern).encode(t or "")) for t in texts]
+
+
+def _decoder(path: str) -> Callable[[list], list]:
+    def decode_all(packed: list) -> list:
+        tokens = vocabulary(path)
+        return [b"".join([tokens[i] for i in unpack(ids or b"")]) for ids in packed]
+
+    return decode_all
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds the token ids of a text column, packed as little-endian unsigned 32-bit integers."""
+    return _adding(df, text, {ids: _encoder(path, pattern)})
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ids stand for; null ids are no ids."""
+    return _adding(df, ids, {out: _decoder(path)})
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens = vocabulary(path)
-        packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-        made = [b"".join([tokens[i] for i in unpack(b or b"")]) for b in packed]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, out])
 
-    return map_batches(df, run, _extended(df, out, T.BinaryType()))
+def round_trip(
+    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded"
+) -> DataFrame:
+    """encode() and decode() of its ids in one pass, by one worker a task."""
+    return _adding(df, text, {ids: _encoder(path, pattern), out: _decoder(path)})
 
 
 def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: n_tokens, the digest of its ids and that of the bytes decoded from them."""
-    texts = documents.select("doc_id", "text")
-    coded = decode(encode(texts, path, pattern).drop("text"), path)
+    coded = round_trip(documents.select("doc_id", "text"), path, pattern)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
