@@ -15,6 +15,7 @@ from ridgewatch.functions import boxes, geo, scoring
 from ridgewatch.functions.boxes import Box
 from ridgewatch.functions.exact import exact_round
 from ridgewatch.operators import detections, entities, evaluation, selection, telemetry, tracking, triage
+from ridgewatch.plans import mission
 from ridgewatch.plans.views import duck_cte, view
 from ridgewatch.session import table
 from ridgewatch.sources import readers, sinks
@@ -25,6 +26,8 @@ ORACLES: dict[str, str] = {}
 
 #: Hours lie between a run's events here, so tolerances are minutes and selection gaps hours.
 TOLERANCE_MS = 1_800_000.0
+#: These flights' boxes jump about, so tracks must end.
+FLIGHT_TRACKER = tracking.TrackerSettings(high=0.35, legacy_lost=False, max_lost=5)
 RULES = selection.SelectionRules(min_gap=3600.0, max_gap=86400.0, blur=100.0)
 
 
@@ -496,8 +499,7 @@ def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = tracking.TrackerSettings(legacy_lost=False, max_lost=5)
-    last = tracking.latest(tracking.track(_flights(spark, sf_dir), settings))
+    last = tracking.latest(tracking.track(_flights(spark, sf_dir), FLIGHT_TRACKER))
     return last.select("run_id", "track_id", "class_name", "hits", "age", "status", "is_confirmed", "is_stationary", F.round("x1", 1).alias("x1"))
 
 
@@ -708,11 +710,36 @@ def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"select range as k, {_ex('27.7172e0 + 5e0 * cos(radians(45e0)) * (range * 100e0 / 1000e0) / 111139e0', 7)} as lat from range(0, 100)"
+    f"""select range as k, {_ex('27.7172e0 + 8e0 * cos(radians(90e0)) * (range * 100e0 / 1000e0) / 111139e0', 7)} as lat,
+      {_ex('85.324e0 + 8e0 * sin(radians(90e0)) * (range * 100e0 / 1000e0) / (111139e0 * cos(radians(27.7172e0)))', 7)} as lon,
+      {_ex('50e0 + 1.2e0 * sin(0.4e0 * (range * 100e0 / 1000e0)) + 0.3e0 * cos(1.1e0 * (range * 100e0 / 1000e0))', 2)} as altitude_agl,
+      {_ex('90e0 + sin(0.2e0 * (range * 100e0 / 1000e0))', 2)} as yaw from range(0, 100)"""
 )
 def synthetic_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.synthetic_telemetry(spark, duration_s=8.9)
-    return rows.select((F.round(F.col("timestamp_ms") / 100)).cast("bigint").alias("k"), "lat")
+    return rows.select((F.round(F.col("timestamp_ms") / 100)).cast("bigint").alias("k"), "lat", "lon", "altitude_agl", "yaw")
+
+
+@query()
+def mission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mission over the flights: tracking, geolocation, clustering, triage and merging."""
+    done = mission.run_mission(*_mission_inputs(spark, sf_dir), tracker=FLIGHT_TRACKER)
+    return done.records.select("run_id", "track_id", "class_name", "triage_score", "urgency_level", "hits", "rank")
+
+
+@query()
+def mission_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mission.run_mission(*_mission_inputs(spark, sf_dir), tracker=FLIGHT_TRACKER).summary
+
+
+def _mission_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    flights = _flights(spark, sf_dir)
+    frames = flights.select("run_id", "frame_id", "timestamp_ms").distinct()
+    pose = {"lat": 27.7172, "lon": 85.324, "altitude_agl": 50.0, "pitch": -75.0, "roll": 0.0, "yaw": 45.0}
+    samples = frames.where("frame_id % 3 = 0").select(
+        "run_id", F.col("timestamp_ms").alias("t_ms"), *[(F.lit(v) + F.col("frame_id") % 90 * 1e-6).alias(c) for c, v in pose.items()]
+    )
+    return frames, samples, flights
 
 
 @query()

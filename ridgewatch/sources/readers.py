@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgewatch.functions.exact import exact_round
@@ -49,35 +50,53 @@ def paired_streams(rgb: DataFrame, thermal: DataFrame, every: int = 1, stop_with
     return own.join(thermal.withColumnsRenamed({c: f"thermal_{c}" for c in thermal.columns if c not in ("run_id", "frame_idx")}), ["run_id", "frame_idx"], "inner" if stop_with_thermal else "left")
 
 
+def _with_sway(t: Column, mean: float, *waves: tuple[Callable[[Column], Column], float, float]) -> Column:
+    """mean plus waves, each a function, an amplitude and a frequency in radians a second."""
+    out = F.lit(mean)
+    for wave, size, rate in waves:
+        out = out + size * wave(rate * t)
+    return out
+
+
 def synthetic_telemetry(
     spark: SparkSession, duration_s: float, rate_hz: float = 10.0, lat: float = 27.7172, lon: float = 85.3240,
-    altitude: float = 50.0, speed: float = 5.0, heading: float = 45.0, jitter: DataFrame | None = None,
+    altitude: float = 50.0, speed: float = 8.0, heading: float = 90.0, gimbal_pitch: float = -75.0,
+    jitter: DataFrame | None = None,
 ) -> DataFrame:
-    """A straight flight with swaying attitude. jitter: k and jitter_ms, added to the time of sample k (none for 0)."""
+    """A straight flight with swaying altitude and attitude, one second longer than asked.
+
+    jitter: k and jitter_ms, added to the time of sample k (never to sample 0).
+    """
     count = math.ceil((duration_s + 1) * rate_hz) + 1
     base = spark.range(count).withColumnRenamed("id", "k")
     base = base.join(jitter, "k", "left") if jitter is not None else base.withColumn("jitter_ms", F.lit(0.0))
     shift = F.when(F.col("k") == 0, 0.0).otherwise(F.coalesce("jitter_ms", F.lit(0.0)))
-    t = F.greatest(F.lit(0.0), F.col("k") * (1000.0 / rate_hz) + shift)
-    s = F.col("t") / 1000.0
+    at = F.greatest(F.lit(0.0), F.col("k") * (1000.0 / rate_hz) + shift)
+    t = F.col("at") / 1000.0
     north, east = speed * math.cos(math.radians(heading)), speed * math.sin(math.radians(heading))
-    return base.select("k", t.alias("t")).select(
-        exact_round(F.col("t"), 2).alias("timestamp_ms"),
-        exact_round(lat + north * s / METRES_PER_DEGREE, 7).alias("lat"),
-        exact_round(lon + east * s / (METRES_PER_DEGREE * math.cos(math.radians(lat))), 7).alias("lon"),
-        exact_round(altitude + 2.0 * F.sin(0.5 * s), 2).alias("altitude_agl"),
-        exact_round(-75.0 + 3.0 * F.sin(0.8 * s), 2).alias("pitch"),
-        exact_round(2.0 * F.sin(1.2 * s), 2).alias("roll"),
-        exact_round(F.pmod(heading + 5.0 * F.sin(0.3 * s), F.lit(360.0)), 2).alias("yaw"),
-    )
+    per_lon = METRES_PER_DEGREE * math.cos(math.radians(lat))
+    # Amplitudes and frequencies of the sway.
+    poses = {
+        "lat": (lat + north * t / METRES_PER_DEGREE, 7),
+        "lon": (lon + east * t / per_lon, 7),
+        "altitude_agl": (_with_sway(t, altitude, (F.sin, 1.2, 0.4), (F.cos, 0.3, 1.1)), 2),
+        "pitch": (_with_sway(t, gimbal_pitch, (F.sin, 0.6, 0.8)), 2),
+        "roll": (_with_sway(t, 0.0, (F.cos, 0.4, 0.9)), 2),
+        "yaw": (F.pmod(_with_sway(t, heading, (F.sin, 1.0, 0.2)), F.lit(360.0)), 2),
+    }
+    return base.select(at.alias("at")).select(
+        exact_round(F.col("at"), 2).alias("timestamp_ms"), *[exact_round(c, k).alias(n) for n, (c, k) in poses.items()]
+    )
 
 
-def fallback_telemetry(spark: SparkSession, frames: int, fps: float, lat: float = 27.7172, lon: float = 85.3240) -> DataFrame:
-    """One sample for each frame of a flight without a log: a slow straight line that looks steeply down."""
+def fallback_telemetry(spark: SparkSession, frames: int, fps: float, lat: float = 27.717245, lon: float = 85.324012) -> DataFrame:
+    """One sample for each frame of a flight without a log, in closed form."""
     k = F.col("id")
+    # Drift per frame, and amplitude and period of the sway.
     return spark.range(frames).select(
-        (k / fps * 1000.0).alias("timestamp_ms"), (lat + k * 1e-6).alias("lat"), (lon + k * 1e-6).alias("lon"),
-        F.lit(50.0).alias("altitude_agl"), F.lit(-75.0).alias("pitch"), F.lit(0.0).alias("roll"), F.lit(45.0).alias("yaw"),
+        (k / fps * 1000.0).alias("timestamp_ms"), (lat + k * 0.000003).alias("lat"), (lon + k * 0.000002).alias("lon"),
+        (45.0 + F.sin(k / 30.0) * 2.0).alias("altitude_agl"), (-75.0 + F.cos(k / 25.0) * 3.0).alias("pitch"),
+        F.lit(0.0).alias("roll"), (45.0 + k * 0.05).alias("yaw"),
     )
 
 

@@ -276,3 +276,58 @@ def test_paired_streams(spark):
 def test_empty_tables(spark):
     assert tracking.track(spark.createDataFrame([], FLIGHT)).count() == 0
     assert entities.cluster(spark.createDataFrame([], SIGHTINGS)).count() == 0
+
+
+def audit_flight():
+    """Sixty frames: a human who stands still and is hidden in three of them, and an animal that walks from frame 10."""
+    frames, seen, truth = [], [], []
+    for k in range(60):
+        t = k * 1000 / 30
+        frames.append((1, k, t, 30.0))
+        truth.append((k, 1, 1, 1900.0, 1050.0, 1950.0, 1120.0))
+        if not 20 <= k <= 22:
+            dx, dy = float(k % 3 - 1), float(k % 2 - 1)
+            seen.append((1, k, t, 0, 1900 + dx, 1050 + dy, 1950 + dx, 1120 + dy, 0.88 if k < 20 else 0.42 if k == 23 else 0.85, "human", 6.8))
+        if k >= 10:
+            x = 2400 + (k - 10) * 4.0
+            truth.append((k, 2, 2, x, 1200.0, x + 80, 1270.0))
+            seen.append((1, k, t, 1, x, 1200.0, x + 80, 1270.0, 0.79, "animal", 1.2))
+    return frames, seen, truth
+
+
+def test_audit_flight(spark):
+    frames, seen, truth = audit_flight()
+    frames = spark.createDataFrame(frames, "run_id bigint, frame_id bigint, timestamp_ms double, latency_ms double")
+    rows = tracking.track(tracking.with_empty_frames(frames, spark.createDataFrame(seen, FLIGHT)))
+    made = rows.withColumn("pred_no", F.col("track_id"))
+    truth = spark.createDataFrame(truth, "frame_id bigint, gt_no bigint, entity_id bigint, gx1 double, gy1 double, gx2 double, gy2 double")
+    match = evaluation.greedy_matches(evaluation.overlaps(made, truth))
+    m = evaluation.metrics(made, truth, match, frames, rows).first()
+    assert (m.total_gt_instances, m.true_positives, m.false_positives, m.false_negatives) == (110, 110, 0, 0)
+    assert (m.recall_at_50, m.precision_at_50, m.f1_score, m.fp_per_minute) == (1.0, 1.0, 1.0, 0.0)
+    assert (m.gt_unique_entities, m.predicted_unique_tracks, m.deduplication_accuracy) == (2, 2, 1.0)
+    assert (m.total_frames_evaluated, m.video_duration_seconds, m.acceptance_verdict) == (60, 1.97, "PASSED")
+    sure = made.where("status <> 'LOST'")
+    assert evaluation.greedy_matches(evaluation.overlaps(sure, truth)).count() == 107
+
+
+def test_whole_mission(spark):
+    from ridgewatch.plans.mission import run_mission
+
+    frames, seen, _ = audit_flight()
+    frames = spark.createDataFrame(frames, "run_id bigint, frame_id bigint, timestamp_ms double, latency_ms double")
+    flown = readers.fallback_telemetry(spark, 60, 30.0).agg(F.max("timestamp_ms")).first()[0]
+    assert flown == pytest.approx(59 * 1000 / 30)
+    hover = [(1, k * 100.0, 27.717245, 85.324012, 50.0, -75.0, 0.0, 45.0) for k in range(21)]
+    pose = spark.createDataFrame(hover, "run_id bigint, t_ms double, lat double, lon double, altitude_agl double, pitch double, roll double, yaw double")
+    done = run_mission(frames, pose, spark.createDataFrame(seen, FLIGHT))
+    records = {r.class_name: r for r in done.records.collect()}
+    assert set(records) == {"human", "animal"} and records["human"].status == "STATIONARY"
+    assert records["human"].urgency_level == "CRITICAL_RESCUE" and records["human"].rank == 1
+    row = done.summary.first()
+    assert (row.processed_frames, row.total_ground_entities, row.humans, row.animals, row.mean_latency) == (60, 2, 1, 1, 30.0)
+    assert row.latency_acceptance_status == "PASSED"
+    halved = run_mission(frames, pose, spark.createDataFrame(seen, FLIGHT), every=2)
+    assert halved.summary.first().processed_frames == 30
+    nothing = run_mission(frames, pose, spark.createDataFrame([], FLIGHT)).summary.first()
+    assert (nothing.records, nothing.total_ground_entities) == (0, 0)
