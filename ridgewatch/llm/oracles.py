@@ -32,6 +32,52 @@ def secret_scan() -> str:
         sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, sha256(t) as blob from d left join j using (rid)"""
 
 
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = (
+    "list_sum(list_transform(range(1, length(dg) + 1), lambda i: case when i % 2 = 1 then cast(substr(reverse(dg), i, 1) as integer) "
+    "else 2 * cast(substr(reverse(dg), i, 1) as integer) - 9 * (cast(substr(reverse(dg), i, 1) as integer) > 4)::integer end)) % 10 = 0"
+).replace("dg", _DIGITS)
+_OCTETS = (
+    "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) < 4 "
+    "and coalesce(try_cast(ltrim(x, '0') as integer), 0) <= 255))"
+)
+_CODE = "regexp_replace(regexp_replace(m, '^(IBAN|iban|Iban)[ :]*', ''), ' ', '', 'g')"
+_MOD97 = (
+    "list_reduce(list_prepend(0, list_transform(string_split(substr(cd, 5) || substr(cd, 1, 4), ''), "
+    "lambda c: position(c in '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ') - 1)), lambda a, b: (a * (case when b > 9 then 100 else 10 end) + b) % 97) = 1"
+).replace("cd", _CODE)
+#: kind, pattern, what is cut off a match at its start and end, and which matches m stay.
+_PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "0", "0", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "0", "0", _OCTETS),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "0", "0", f"case when length({_DIGITS}) between 16 and 19 then {_LUHN} else false end"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "0", "0", f"length({_DIGITS}) between 8 and 15"),
+    ("login", r"://[A-Za-z0-9._~!$&'()*+,;=:%-]+@", "3", "1", "position(':' in substr(m, 4)) > 0"),
+    (
+        "iban", r"(?:IBAN|iban|Iban)[ :]*[A-Z] ?[A-Z] ?[0-9] ?[0-9](?: ?[A-Z0-9]){11,30}",
+        "length(m) - length(regexp_replace(m, '^(IBAN|iban|Iban)[ :]*', ''))", "0", _MOD97,
+    ),
+)
+
+
+def personal_data() -> str:
+    parts = []
+    for place, (kind, pattern, head, tail, keep) in enumerate(_PERSONAL):
+        quoted = _quoted(pattern)
+        parts.append(
+            f"select rid, place, kind, a + ({head}) as a, b - {tail} as b from (select rid, {place} as place, '{kind}' as kind, ms[i] as m, "
+            "coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as a, "
+            "coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) as b "
+            f"from (select rid, regexp_extract_all(t, {quoted}) as ms, string_split_regex(t, {quoted}) as gs from d) x, unnest(range(1, len(ms) + 1)) u(i)) y where {keep}"
+        )
+    one = "kind || ':' || a::bigint || ':' || b::bigint"
+    counts = ", ".join(f"count_if(place = {k}) as n_{kind}" for k, (kind, *_) in enumerate(_PERSONAL[:4]))
+    filled = ", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind, *_ in _PERSONAL[:4])
+    return f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents), s as ({' union all '.join(parts)}),
+      j as (select rid, {counts}, string_agg({one}, ',' order by place, a) filter (place < 4) as base, string_agg({one}, ',' order by place, a) as spans from s group by rid)
+      select doc_id, {filled}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join j using (rid)"""
+
+
 NGRAM_JOIN = rf"""with recursive w as (select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') as ws from documents),
   s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
       else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) end as sh from w),
@@ -99,6 +145,7 @@ def licence_scan() -> str:
 
 ORACLES = {
     "op1_secret_scan": secret_scan(),
+    "op2_pii": personal_data(),
     "op3_ngram_join": NGRAM_JOIN,
     "op4_chat_format": CHAT_FORMAT,
     "op7_decontamination": DECONTAMINATION,
