@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ridgewatch.llm.common import map_batches
 
 #: Bounds of a worker's memo tables; a full table starts anew, results don't depend on them.
-PIECE_MEMO, PAIR_MEMO = 200_000, 400_000
+PIECE_MEMO, PAIR_MEMO = 400_000, 600_000
 #: Longer pieces aren't memoised, so that the table's bytes are bounded too.
 PIECE_MEMO_BYTES = 64
 
