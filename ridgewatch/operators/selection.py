@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgewatch.functions import pixels
 from ridgewatch.operators.fold import fold_sorted
 
 ANCHOR, MOTION, NOVEL, KEEPALIVE = (
@@ -61,6 +62,40 @@ def select_frames(candidates: DataFrame, rules: SelectionRules = SelectionRules(
     )
 
 
+def select_from_images(frames: DataFrame, rules: SelectionRules = SelectionRules(), proxy_width: int = 640) -> DataFrame:
+    """Selected frames with their scores, from pixels: run_id, frame_id, t_s, image (three bytes a pixel), width.
+
+    Motion is measured against the candidate before, similarity against the last selected frame; both are kept small.
+    """
+
+    def start(row: dict) -> dict:
+        return {"before": None, "chosen": None, "last": None}
+
+    def step(state: dict, row: dict) -> Iterator[tuple]:
+        image = pixels.area_resize(pixels.colour(row["image"], row["width"]), proxy_width)
+        grey = pixels.to_grey(image)
+        sharpness, mean, deviation = pixels.laplacian_variance(grey), float(grey.mean()), float(grey.std())
+        share, moved = pixels.change(image, state["before"])
+        alike, off = pixels.likeness(image, state["chosen"])
+        motion = 1.0 if share is None else round(min(1.0, 0.7 * (share * 5) + 0.3 * (moved / 255.0 * 3)), 4)
+        near = 0.0 if alike is None else round(min(1.0, max(0.0, 0.6 * max(0.0, alike) + 0.4 * max(0.0, 1 - off / 128.0))), 4)
+        state["before"] = image
+        reason = rules.reason(None if state["last"] is None else row["t_s"] - state["last"], sharpness, motion, near)
+        if reason is None:
+            return
+        state["chosen"], state["last"] = image, row["t_s"]
+        bright, contrast = round(max(0.0, 1 - abs(mean - 128) / 128), 4), round(min(1.0, deviation / 64), 4)
+        quality = 0.5 * min(1.0, sharpness / max(3 * rules.blur, 1.0)) + 0.25 * bright + 0.25 * contrast
+        score = 0.4 * quality + 0.35 * (1 - near) + 0.25 * motion
+        yield row["run_id"], row["frame_id"], row["t_s"], reason, sharpness, bright, contrast, motion, near, score
+
+    return fold_sorted(
+        frames.select("run_id", "frame_id", "t_s", "image", "width"), ["run_id"], ["t_s", "frame_id"], start, step,
+        "run_id bigint, frame_id bigint, t_s double, reason string, sharpness_score double, brightness_score double, "
+        "contrast_score double, motion_score double, similarity_score double, selection_score double",
+    )
+
+
 def selection_summary(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     """Per run: candidates, selected frames, reduction in per cent and selected frames per second of its span."""
     all_rows = candidates.groupBy("run_id").agg(

@@ -182,6 +182,11 @@ def dispatch_links(records: DataFrame) -> DataFrame:
     )
 
 
+def write_images(images: DataFrame, folder: str, name: str, data: str) -> None:
+    """One row an image below folder/name, as Parquet: any store, whole files only. base64(data) gives text for pages."""
+    images.select("run_id", "track_id", data).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def write_metrics(metrics: DataFrame, folder: str) -> None:
     """One row as JSON and as a report with a verdict computed from it."""
     row = metrics.first().asDict()

@@ -121,3 +121,27 @@ def test_thermal_delta():
     image[40:60, 40:60] = 90
     assert pixels.thermal_delta(image, (40, 40, 60, 60)) == round(90 - 90 * 400 / 1600, 2)
     assert pixels.thermal_delta(image, (200, 200, 210, 210)) is None
+
+
+def test_area_resize_keeps_the_mean():
+    image = np.random.default_rng(1).integers(0, 255, (90, 160, 3))
+    small = pixels.area_resize(image, 64)
+    assert small.shape == (36, 64, 3) and small.mean() == pytest.approx(image.mean())
+    assert pixels.area_resize(image, 640).shape == image.shape
+
+
+def test_likeness_and_change():
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 255, (20, 30, 3)).astype(np.uint8)
+    assert pixels.likeness(image, image) == (pytest.approx(1.0), 0.0) and pixels.change(image, image) == (0.0, 0.0)
+    other = np.zeros_like(image)
+    assert pixels.likeness(image, other)[0] < 0.9 and pixels.change(image, other)[0] > 0.5
+    assert pixels.likeness(image, None) == (None, None) and pixels.change(image, image[:5]) == (None, None)
+
+
+def test_evidence_crops(spark):
+    image = np.zeros((10, 20, 3), np.uint8)
+    df = spark.createDataFrame([(image.tobytes(), 20, 2, 2, 8, 8), (None, None, 0, 0, 5, 5)], "data binary, width int, x1 int, y1 int, x2 int, y2 int")
+    rows = [r.c for r in df.select(pixels.evidence_crops("data", "width", "x1", "y1", "x2", "y2").alias("c")).collect()]
+    assert all(r.raw_crop[:4] == b"\x89PNG" and r.annotated_crop[:4] == b"\x89PNG" for r in rows)
+    assert rows[0].raw_crop != rows[0].annotated_crop and rows[0].raw_crop != rows[1].raw_crop

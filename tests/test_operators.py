@@ -331,3 +331,14 @@ def test_whole_mission(spark):
     assert halved.summary.first().processed_frames == 30
     nothing = run_mission(frames, pose, spark.createDataFrame([], FLIGHT)).summary.first()
     assert (nothing.records, nothing.total_ground_entities) == (0, 0)
+
+
+def test_selection_from_images(spark):
+    rng = np.random.default_rng(3)
+    scenes = [rng.integers(0, 255, (24, 32, 3)).astype(np.uint8) for _ in range(2)]
+    blurred = np.full((24, 32, 3), 90, np.uint8)
+    shown = [scenes[0]] * 4 + [scenes[1]] * 3 + [blurred] * 3 + [scenes[1]] * 12
+    df = spark.createDataFrame([(1, k, k * 0.2 + (0.01 if k else 0), im.tobytes(), 32) for k, im in enumerate(shown)], "run_id bigint, frame_id bigint, t_s double, image binary, width int")
+    got = [(r.frame_id, r.reason) for r in selection.select_from_images(df).orderBy("frame_id").collect()]
+    assert got[:2] == [(0, selection.ANCHOR), (4, selection.MOTION)]
+    assert all(reason == selection.KEEPALIVE for _, reason in got[2:]) and 7 not in dict(got)

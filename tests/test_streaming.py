@@ -78,3 +78,17 @@ def test_rates_are_windowed(spark, tmp_path):
     fed = [tuple(r) for r in df.select("class_name", "confidence", "ts").collect()]
     got = streamed(spark, fed, "class_name string, confidence double, ts timestamp", 2, live.detection_rates, tmp_path)
     assert [(r.detections, r.mean_confidence) for r in got] == [(5, pytest.approx(0.5))]
+
+
+def test_progress_callback(spark, tmp_path):
+    from ridgewatch.streaming.progress import ProgressCallback
+
+    seen = []
+    listener = ProgressCallback(lambda name, rows, rate: seen.append(rows))
+    spark.streams.addListener(listener)
+    try:
+        streamed(spark, [(1,), (2,)], "a int", 2, lambda s: s, tmp_path)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen and max(seen) == 2
