@@ -12,7 +12,7 @@ into fragments; each task holds one fragment of all sets, packed.
    own n-grams reaches few shared ones. Sets of comparable size with the same prefix n-gram form a bucket. Buckets
    with the same best member (fewest own n-grams) make one group; any two sets that meet in a bucket meet in its group.
 4. A group compares its best member with all others, then only those sets that haven't yet come into its component
-   with all others. So no pair is emitted that doesn't link, and a group of copies costs its size, while every link
+   with all others. A pair's overlap is counted in fragments of the order and summed until none can be enough. So no pair is emitted that doesn't link, and a group of copies costs its size, while every link
    that could join two components is tested. A group emits at most one link for each member.
 5. Components of the links, by smallest labels with pointer jumping, written after each round.
 
@@ -96,6 +96,8 @@ def set_ids(documents: DataFrame, size: int, key: str, text: str) -> DataFrame:
 # and chunk, in directory rows without runs. part says where a row goes: fragments first, then as many collecting parts.
 _SEGMENTS = "part int, sids binary, sizes binary, runs binary, grams binary"
 _NAMES = ["part", "sids", "sizes", "runs", "grams"]
+#: Ranges of the global order in which a pair's overlap is counted.
+PAIR_FRAGMENTS = 4
 #: Pieces in which a task goes through its fragment.
 SLICES = 4
 #: 80 bits: with 10**10 sets, two share a key with a chance of 4 in 100,000; then the collecting part stops the job.
@@ -405,21 +407,42 @@ def groups(sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _links(members: list[tuple], similarity: int) -> list[tuple[bytes, bytes]]:
-    """Links that join a group's members into their components. members: code, sid, n, grams."""
+    """Links that join a group's members into their components. members: code, sid, n, grams.
+
+    The group's n-grams are cut into PAIR_FRAGMENTS ranges of the global order. A pair's overlap is the sum of its partial
+    overlaps, range after range, until no pair can reach the similarity any more.
+    """
     sizes = np.array([m[2] for m in members])
     parts = [np.frombuffer(m[3], dtype="<u8") for m in members]
-    offsets = np.cumsum([0, *map(len, parts)])
-    local = np.unique(np.concatenate(parts), return_inverse=True)[1]
-    mark = np.zeros(int(local.max()) + 1, dtype=np.int32)
+    held = np.array(list(map(len, parts)))
+    owner, local = np.repeat(np.arange(len(parts)), held), np.unique(np.concatenate(parts), return_inverse=True)[1]
+    count = int(local.max()) + 1
+    fragment = local * PAIR_FRAGMENTS // count
+    in_fragment = np.bincount(owner * PAIR_FRAGMENTS + fragment, minlength=len(parts) * PAIR_FRAGMENTS)
+    in_fragment = in_fragment.reshape(-1, PAIR_FRAGMENTS)
+    cuts = [(local[fragment == v], np.concatenate([[0], np.cumsum(in_fragment[:, v])])) for v in range(PAIR_FRAGMENTS)]
+    starts = np.concatenate([[0], np.cumsum(held)])
+    mark = np.zeros(count, dtype=np.int32)
     root = np.arange(len(members))
 
-    def link_with_all(k: int) -> None:
-        own = local[offsets[k] : offsets[k + 1]]
+    def alike(k: int) -> np.ndarray:
+        own = local[starts[k] : starts[k + 1]]
         mark[own] = 1
-        common = np.add.reduceat(mark[local], offsets[:-1])
+        common, rest = np.zeros(len(parts), dtype=np.int64), held.copy()
+        for v, (tokens, bounds) in enumerate(cuts):
+            summed = np.concatenate([[0], np.cumsum(mark[tokens])])
+            common += summed[bounds[1:]] - summed[bounds[:-1]]
+            rest -= in_fragment[:, v]
+            most = common + np.minimum(rest, rest[k])
+            within = 100 * most >= similarity * (sizes + sizes[k] - most)
+            within[k] = False
+            if not within.any():
+                break
         mark[own] = 0
-        met = np.nonzero(100 * common >= similarity * (sizes + sizes[k] - common))[0]
-        joined = np.unique(root[np.append(met, k)])
+        return np.nonzero(within)[0]
+
+    def link_with_all(k: int) -> None:
+        joined = np.unique(root[np.append(alike(k), k)])
         root[np.isin(root, joined)] = joined.min()
 
     centre = min(range(len(members)), key=lambda k: (members[k][0], members[k][1]))
