@@ -30,11 +30,10 @@ def neighbours(frames: DataFrame, samples: DataFrame, slice_ms: float = SLICE_MS
         "run_id", F.col("t_ms").alias("at"), F.lit(1).alias("side"), seq.cast("bigint").alias("seq"), sample.alias("sample")
     )
     rows = left.unionByName(right, allowMissingColumns=True).withColumn("slice", F.floor(F.col("at") / slice_ms))
-    rank = F.struct("at", "seq")
-    ends = rows.where("side = 1").groupBy("run_id", "slice").agg(
+    rank = F.when(F.col("side") == 1, F.struct("at", "seq"))  # frames have no rank and are passed over
+    slices = rows.groupBy("run_id", "slice").agg(
         F.min_by("sample", rank).alias("first"), F.max_by("sample", rank).alias("last")
     )
-    slices = rows.select("run_id", "slice").distinct().join(ends, ["run_id", "slice"], "left")
     run = Window.partitionBy("run_id").orderBy("slice")
     carried = slices.select(
         "run_id", "slice",
