@@ -153,23 +153,21 @@ def clustering_statistics(entities: DataFrame, min_hits: int = 3) -> DataFrame:
     )
 
 
-RECORD = "run_id bigint, class_name string, place bigint, track_id bigint, confidence double, triage_score double, hits bigint, last_detected_ms double, best_record bigint, merged int"
-
-
 def merge_records(records: DataFrame, radius_m: float = 8.0) -> DataFrame:
-    """Records in list order (place): each joins the first of its class within the radius, or is kept.
+    """Records in list order (place): each joins the first of its class within the radius, or is kept with its columns.
 
-    A kept record adds up hits, takes the latest time, and of a more confident record its confidence, its evidence
-    (best_record) and the higher score. Its position, and so the grid, stays.
+    A kept record adds up hits, takes the latest time (last_detected_ms), and of a more confident record its confidence,
+    its evidence (best_record) and the higher score; merged counts its records. Its position, and so the grid, stays.
     """
+    names = [*records.columns, "best_record", "merged"]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema]
 
     def start(row: dict) -> dict:
         return {"grid": Grid(radius_m), "kept": []}
 
     def step(state: dict, row: dict) -> tuple:
         kept = state["kept"]
-        near = state["grid"].near(row["latitude"], row["longitude"])
-        for n in near:
+        for n in state["grid"].near(row["latitude"], row["longitude"]):
             e = kept[n]
             if metres(row["latitude"], row["longitude"], e["latitude"], e["longitude"]) <= radius_m:
                 e["hits"] += row["hits"]
@@ -184,12 +182,11 @@ def merge_records(records: DataFrame, radius_m: float = 8.0) -> DataFrame:
         return ()
 
     def finish(state: dict) -> Iterator[tuple]:
-        names = [part.split()[0] for part in RECORD.split(", ")]
         for e in state["kept"]:
             yield tuple(e[n] for n in names)
 
-    columns = ("run_id", "class_name", "place", "track_id", "latitude", "longitude", "confidence", "triage_score", "hits", "last_detected_ms")
-    return fold_sorted(records.select(*columns), ["run_id", "class_name"], ["place"], start, step, RECORD, finish)
+    schema = ", ".join([*kinds, "best_record bigint", "merged int"])
+    return fold_sorted(records, ["run_id", "class_name"], ["place"], start, step, schema, finish)
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, max_lat: float) -> DataFrame:

@@ -51,9 +51,7 @@ def run_mission(
     listed = entities.ranked_entities(entities.confirmed(found, min_hits))
     made = triage.entity_records(listed)
     merged = entities.merge_records(made.withColumn("last_detected_ms", F.col("last_detected_ts")), radius_m)
-    newer = {"confidence": "confidence", "triage_score": "triage_score", "hits": "hits", "last_detected_ts": "last_detected_ms"}
-    changes = merged.select("run_id", "track_id", F.struct(*[F.col(new).alias(old) for old, new in newer.items()]).alias("m"))
-    records = made.join(changes, ["run_id", "track_id"]).withColumns({c: F.col(f"m.{c}") for c in newer}).drop("m")
+    records = merged.withColumn("last_detected_ts", F.col("last_detected_ms")).drop("last_detected_ms")
     records = triage.rank(records, "place")
     return Mission(tracks, sightings, found, records, _summary(frames, used, found, records, min_hits, latency_target_ms))
 
