@@ -522,6 +522,18 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("l.track_id").alias("left_id"), F.col("g.track_id").alias("right_id"), F.round("distance_m", 4).alias("distance_m"))
 
 
+@query()
+def radius_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of sightings within the radius, of all runs, each pair once. radius_join is the part that its SQL twin covers."""
+    rows = view(spark, sf_dir, "sightings_v")
+    found = entities.radius_pairs(rows, rows, 8.0, 28.0)
+    own = lambda side: F.struct(f"{side}.run_id", f"{side}.track_id")
+    return found.where(own("l") < own("g")).select(
+        F.col("l.run_id").alias("left_run"), F.col("l.track_id").alias("left_id"), F.col("g.run_id").alias("right_run"),
+        F.col("g.track_id").alias("right_id"), F.round("distance_m", 4).alias("distance_m"),
+    )
+
+
 @query()
 def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = entities.ranked_entities(entities.cluster(_sightings(spark, sf_dir)))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ridgewatch.operators import detections, entities, evaluation, selection, telemetry, tracking, triage
 from ridgewatch.operators.assignment import assign
+from ridgewatch.plans import catalog
+from ridgewatch.plans.views import view
 from ridgewatch.sources import readers, sinks
 
 
@@ -182,6 +184,18 @@ def test_clustering(spark, lat):
     assert sorted(r.entity_id for r in got) == list(range(1, len(got) + 1))
 
 
+def test_radius_join_of_all_runs(spark, tmp_path):
+    rng = random.Random(5)
+    orders = [(k, rng.randrange(400), f"2024-01-{1 + k % 28:02d}") for k in range(1, 301)]
+    df = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, day string")
+    df.select("o_orderkey", "o_custkey", F.to_timestamp("day").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = [(r.run_id, r.track_id, r.class_name, r.lat, r.lon) for r in view(spark, str(tmp_path), "sightings_v").collect()]
+    wanted = {(*a[:2], *b[:2]) for a in rows for b in rows if a[:2] < b[:2] and a[2] == b[2] and entities.metres(*a[3:], *b[3:]) <= 8.0}
+    got = catalog.radius_join_all(spark, str(tmp_path)).collect()
+    assert len(got) == len(wanted) and {tuple(r[:4]) for r in got} == wanted
+    assert len({r.left_run for r in got}) > 2
+
+
 def test_confirmation_falls_back_to_all(spark):
     df = spark.createDataFrame([(1, 1), (1, 5), (2, 1)], "run_id bigint, total_hits bigint")
     assert sorted(tuple(r) for r in entities.confirmed(df).collect()) == [(1, 5), (2, 1)]
