@@ -320,6 +320,15 @@ def test_perplexity_rejects_noise(spark):
     assert sum(got[k].kept for k in range(80)) == sum(not got[k].base_failed for k in range(80))
 
 
+def test_bands_reject_bad_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality_rules.verdicts(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")
+    ).collect()
+    share = {r.quality: r.gone / r.n for r in rows}
+    assert share[0] > 0.3 and share[1] < 0.05
+
+
 # Quality classifier
 
 
