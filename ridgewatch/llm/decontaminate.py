@@ -7,8 +7,9 @@ mostly share theirs. The posting lists of the anchors are read, each posting is
 item, and the lists of the other terms are intersected at the shifted positions, outwards from the anchor and as far
 as they agree. Those neighbours are stored in the posting, so the intersection needs no join over common words: the
 words shuffled are those around rare terms, not the training text. A run of agreeing words as long as a window is an
-exact phrase match, and covers all windows in it. Anchors of one item that agree on a document within a few
-positions are a proximity match.
+exact phrase match, and covers all windows in it. The NEAR_TERMS rarest terms of an item that occur at all are anchors
+too, whatever its windows hold. Two different anchor terms of one item that agree on a document within a few positions
+are a proximity match.
 
 Only DataFrame functions are used. Test items are taken in blocks of at most BLOCK_TERMS anchor terms, each matched
 against all documents, so no broadcast grows with the benchmark; documents are never collected.
@@ -38,6 +39,8 @@ BLOCK_TERMS = 20_000
 BROADCAST_TERMS = 200_000
 #: Positions that anchors of a proximity match may differ by.
 SLOP = 8
+#: Terms of an item that are looked for besides the rarest of each window.
+NEAR_TERMS = 4
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -64,22 +67,30 @@ def term_counts(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rarest term of each window: item_id, offset (from 0), term, the item's words from 12 before to 12 after.
+    """The rarest term of each window, and the NEAR_TERMS rarest of each item: item_id, offset (from 0), term, the item's
+    words from 12 before to 12 after.
 
     before tells how many words stand left of the anchor in around. Windows with a term that no document has can't
-    occur and have no anchor.
+    occur and have no anchor; an item's rarest terms are those that some document has.
     """
     rows = items.withColumn("key", F.xxhash64("item_id", "item"))
     tokens = rows.select("item_id", "key", F.size("item").alias("size"), F.posexplode("item").alias("offset", "term"))
     own = Window.partitionBy("item_id", "key").orderBy("offset")
     ahead = own.rowsBetween(0, WINDOW - 1)
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset").alias("at"), F.col("term").alias("term"))
+    counted = tokens.join(counts, "term", "left")
+    few = Window.partitionBy("item_id", "key").orderBy("n", "term")
+    near = (
+        counted.where("n > 0").withColumn("place", F.dense_rank().over(few)).where(F.col("place") <= NEAR_TERMS)
+        .select("item_id", "key", "offset", "term")
+    )
     rarest = (
-        tokens.join(counts, "term", "left")
+        counted
         .withColumn("best", F.min(rank).over(ahead))
         .where(F.col("offset") <= F.greatest(F.col("size") - WINDOW, F.lit(0)))
         .where(F.col("best.n") > 0)
-        .select("item_id", "key", F.col("best.at").alias("offset"), F.col("best.term").alias("term")).distinct()
+        .select("item_id", "key", F.col("best.at").alias("offset"), F.col("best.term").alias("term"))
+        .unionByName(near).distinct()
     )
     start = F.greatest(F.col("offset") - (WINDOW - 1), F.lit(0))
     return rarest.join(rows, ["item_id", "key"]).select(
@@ -125,14 +136,14 @@ def _agreeing(step: int) -> Column:
 
 
 def search(index: DataFrame, tests: DataFrame) -> DataFrame:
-    """Shifted and intersected postings: doc_id, text_key, item_id, diagonal, low, high (exclusive), exact."""
+    """Shifted and intersected postings: doc_id, text_key, item_id, diagonal, low, high (exclusive), exact, term."""
     read = index.select("doc_id", "text_key", F.inline("postings")).select(
         "doc_id", "text_key", "term", F.struct("at", "around", "before").alias("p")
     )
     wanted = tests.select("item_id", "term", "offset", "size", F.struct("around", "before").alias("a"))
     met = read.join(wanted, "term").withColumns({"left": _agreeing(-1), "right": _agreeing(1)})
     return met.select(
-        "doc_id", "text_key", "item_id", "offset", (F.col("p.at") - F.col("offset")).alias("diagonal"),
+        "doc_id", "text_key", "item_id", "term", (F.col("p.at") - F.col("offset")).alias("diagonal"),
         (F.col("p.at") - F.col("left")).alias("low"), (F.col("p.at") + F.col("right") + 1).alias("high"),
         (F.col("left") + F.col("right") + 1 >= F.least(F.col("size"), F.lit(WINDOW))).alias("exact"),
     )
@@ -168,7 +179,8 @@ def _hit_words(exact: DataFrame) -> DataFrame:
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated and n_near, items with a proximity match."""
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, n_near, and the ids of the items with an exact
+    and with a proximity match (items, near_items)."""
     rows, found = matches(documents.select("doc_id", "text"), benchmark)
     found = store(found, "decontamination-matches")
     exact = found.where("exact")
@@ -178,10 +190,10 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     band = F.floor(F.col("diagonal") / SLOP)
     near = (
-        found.select("doc_id", "text_key", "item_id", "offset", F.explode(F.array(band, band + 1)).alias("band"))
-        .groupBy("doc_id", "text_key", "item_id", "band").agg(F.count_distinct("offset").alias("met"))
-        .where("met > 1").select("doc_id", "text_key", "item_id").distinct()
-        .groupBy("doc_id", "text_key").agg(F.count("*").alias("near"))
+        found.select("doc_id", "text_key", "item_id", "term", F.explode(F.array(band, band + 1)).alias("band"))
+        .groupBy("doc_id", "text_key", "item_id", "band").agg(F.count_distinct("term").alias("met"))
+        .where("met > 1").select("doc_id", "text_key", F.col("item_id").cast("string").alias("item")).distinct()
+        .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item")).alias("near"))
     )
     out = rows
     for part in (_hit_words(exact), items, near):
@@ -189,11 +201,12 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
         out = out.join(right, on, "left").drop("d", "t")
     hit, listed = F.coalesce("hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
+    close = F.coalesce("near", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"),
         ((hit > 0) & (SHARE * hit >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce("near", F.lit(0)).alias("n_near"), "text_key",
+        F.size(close).cast("bigint").alias("n_near"), "text_key", listed.alias("items"), close.alias("near_items"),
     )
 
 

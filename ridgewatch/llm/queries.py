@@ -56,7 +56,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "n_near")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "n_near", "items", "near_items")
+
+
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the items that each document has exactly and nearly; op7_decontamination has its SQL twin's columns."""
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "contaminated", "items", "near_items")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_output": op5_token_output,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,
+    "op7_proximity": op7_proximity,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,

@@ -238,6 +238,15 @@ def test_proximity_matches(spark):
     assert rows[1].n_hit == 0 and rows[1].n_near == 1 and rows[2].n_near == 0
 
 
+def test_proximity_of_short_and_unseen_items(spark, tmp_path):
+    items = [(1, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9"), (2, " ".join(f"absent{k}" if k % 8 == 4 else f"q{k}" for k in range(30)))]
+    docs = [(1, "a p0 p1 p2 p3 zz p5 p6 p7 p8 p9 b"), (2, " ".join("zz" if k % 8 == 4 else f"q{k}" for k in range(30))), (3, "p1 alone"), (4, items[0][1])]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r.doc_id: (r.items, r.near_items) for r in QUERIES["op7_proximity"](spark, str(tmp_path)).collect()}
+    assert rows == {1: ([], ["1"]), 2: ([], ["2"]), 3: ([], []), 4: (["1"], ["1"])}
+
+
 def test_contamination_query(spark):
     docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
