@@ -13,7 +13,8 @@ into fragments; each task holds one fragment of all sets, packed.
    with the same best member (fewest own n-grams) make one group; any two sets that meet in a bucket meet in its group.
 4. A group compares its best member with all others, then only those sets that haven't yet come into its component
    with all others. A pair's overlap is counted in fragments of the order and summed until none can be enough. So no pair is emitted that doesn't link, and a group of copies costs its size, while every link
-   that could join two components is tested. A group emits at most one link for each member.
+   that could join two components is tested. A group emits at most one link for each
+   member, which needn't be a similar pair but joins the right components; link_counts has a group emit all true links.
 5. Components of the links, by smallest labels with pointer jumping, written after each round.
 
 Bounded memory: a fragment holds FRAGMENT_TOKENS n-grams on average and an n-gram counts in it once for each chunk of
@@ -406,9 +407,11 @@ def groups(sets: DataFrame, similarity: int) -> DataFrame:
     return met.select("lead", "sid", "n", "code").distinct()
 
 
-def _links(members: list[tuple], similarity: int) -> list[tuple[bytes, bytes]]:
+def _links(members: list[tuple], similarity: int, every: bool = False) -> list[tuple[bytes, bytes]]:
     """Links that join a group's members into their components. members: code, sid, n, grams.
 
+    With every, all links of the group: each pair once, the smaller sid first.
+
     The group's n-grams are cut into PAIR_FRAGMENTS ranges of the global order. A pair's overlap is the sum of its partial
     overlaps, range after range, until no pair can reach the similarity any more.
     """
@@ -445,6 +448,9 @@ def _links(members: list[tuple], similarity: int) -> list[tuple[bytes, bytes]]:
         joined = np.unique(root[np.append(alike(k), k)])
         root[np.isin(root, joined)] = joined.min()
 
+    if every:
+        sids = [m[1] for m in members]
+        return [(min(sids[k], sids[j]), max(sids[k], sids[j])) for k in range(len(sids)) for j in alike(k) if j > k]
     centre = min(range(len(members)), key=lambda k: (members[k][0], members[k][1]))
     link_with_all(centre)
     for k in range(len(members)):
@@ -453,8 +459,8 @@ def _links(members: list[tuple], similarity: int) -> list[tuple[bytes, bytes]]:
     return [(members[root[k]][1], members[k][1]) for k in range(len(members)) if root[k] != k]
 
 
-def links(sets: DataFrame, similarity: int) -> DataFrame:
-    """Links a, b between sids, enough for all components."""
+def links(sets: DataFrame, similarity: int, every: bool = False) -> DataFrame:
+    """Links a, b between sids, enough for all components; with every, all of them, each once."""
     members = store(groups(sets, similarity), "ngram-groups")
     blocks = members.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("blocks"), F.count("*").alias("k"))
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
@@ -478,11 +484,12 @@ def links(sets: DataFrame, similarity: int) -> DataFrame:
     )
 
     def run(_: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = _links([row[1:] for row in rows], similarity)
+        found = _links([row[1:] for row in rows], similarity, every)
         columns = list(zip(*found)) if found else [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
 
-    return dealt.mapInArrow(by_part(run), "a binary, b binary")
+    made = dealt.mapInArrow(by_part(run), "a binary, b binary")
+    return made.distinct() if every else made
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -520,6 +527,26 @@ def near_duplicates(
     )
 
 
+def link_counts(
+    documents: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Per row: the key and n_links, the other rows with a key whose sets are that similar, copies of its own included.
+
+    Every pair of similar distinct sets is tested and emitted once, so a group costs the number of its links.
+    """
+    ids = store(set_ids(documents, size, key, text), "ngram-ids")
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linkable = documents.where(F.col(key).isNotNull())
+    sets = store(shared_sets(linkable, total, size, similarity, text), "ngram-sets")
+    found = store(links(sets, similarity, every=True), "ngram-all-links")
+    copies = ids.where("sid is not null and key is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies, F.col("b") == F.col("sid")).groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("far"))
+    linked = copies.join(others, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    own = F.when(F.col("key").isNotNull(), F.col("n_links"))
+    return ids.join(linked, "sid", "left").select(F.col("key").alias(key), F.coalesce(own, F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents with one row of each component, that with the smallest key; rows with a null key stay."""
     joined = near_duplicates(documents, key=key, text=text)

@@ -44,6 +44,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true links of each document, counted; op3_ngram_join has its SQL twin's columns."""
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii": op2_pii,
     "op3_ngram_join": op3_ngram_join,
+    "op3_links": op3_links,
     "op4_chat_format": op4_chat_format,
     "op5_token_output": op5_token_output,
     "op6_byte_bpe": op6_byte_bpe,

@@ -79,6 +79,25 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, sizes):
     assert near(spark, rows) == components(rows)
 
 
+@pytest.mark.parametrize("tokens", [4_000_000, 150])
+def test_link_counts_equal_brute_force(spark, monkeypatch, tokens):
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", tokens)
+    rng, rows = random.Random(4), []
+    for _ in range(4):
+        base = [f"v{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(8):
+            at = rng.randrange(len(base))
+            rows.append((len(rows), " ".join(base[:at] + ["new"] + base[at + 1 :])))
+            base = base if rng.random() < 0.5 else rows[-1][1].split()
+    rows += [(100, rows[0][1]), (100, rows[0][1]), (None, rows[0][1]), (101, None)]
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    sets = [(k, grams(t)) for k, t in rows]
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    wanted = [(str(k), sum(j is not None and m != n and alike(a, b) for n, (j, b) in enumerate(sets)) if k is not None else 0) for m, (k, a) in enumerate(sets)]
+    got = ngram_join.link_counts(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted(wanted)
+
+
 def test_similarity_bound_is_exact(spark):
     base = [f"w{k}" for k in range(94)]
     rows = [(1, " ".join(base)), (2, " ".join(base[10:])), (3, " ".join(base[19:])), (4, " ".join([*base[18:], "x"]))]
