@@ -39,8 +39,6 @@ CUES = r"(?i)licen[cs]e|copyright|spdx-"
 THRESHOLD = 0.6
 #: In hundredths of a file's lines with a word.
 FILE_SHARE = 50
-#: Directories above a file that may rule it.
-MAX_DEPTH = 32
 
 
 def terms(line: Column) -> Column:
@@ -96,9 +94,8 @@ def similarities(lines: DataFrame) -> DataFrame:
 def _parents(path: Column) -> Column:
     """depth and directory of each directory above a path, the root ("") with depth 0."""
     parts = F.split(path, "/")
-    last = F.least(F.size(parts) - 1, F.lit(MAX_DEPTH))
     return F.transform(
-        F.sequence(F.lit(0), last),
+        F.sequence(F.lit(0), F.size(parts) - 1),
         lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")),
     )
 

@@ -466,6 +466,14 @@ def test_licences_equal_loops(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_licences_of_deep_paths(spark):
+    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+    deep = "/".join(f"d{k}" for k in range(40))
+    df = spark.createDataFrame([("a", "LICENSE", gpl), ("b", f"{deep}/LICENSE", mit), ("c", f"{deep}/x/code.py", "x = 1")], "key string, path string, text string")
+    got = {r.key: (r.license, r.inherited_from) for r in license_scan.scan(df).collect()}
+    assert got["c"] == ("MIT", deep)
+
+
 def test_licence_query(spark):
     files = [tuple(r) for r in license_scan.document_paths(documents(spark)).select("doc_id", "path", "text").collect()]
     got = QUERIES["op9_license_scan"](spark, SF).collect()
