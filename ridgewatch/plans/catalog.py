@@ -331,17 +331,13 @@ _FOCAL = repr(geo.Camera().focal)
     "telemetry_v",
 )
 def raycast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels cast to the ground. Far points near the horizon differ in their last digits, so these are left to tests."""
+    """Pixels cast to the ground, all rows. The twin leaves out far points near the horizon, whose last digits differ."""
     rows = view(spark, sf_dir, "telemetry_v")
     us = F.col("t_us")
     u, v = F.expr("t_us div 1000 % 3840") * 1.0, F.expr("t_us div 3000 % 2160") * 1.0
     pose = [F.col(c) for c in ("lat", "lon", "altitude_agl", "pitch", "roll", "yaw")]
-    camera = geo.Camera()
-    right, down = camera.ray(u, v)
-    fall = geo.camera_to_ned(pose[5], pose[3], pose[4])[2]
-    steep = fall[0] * right + fall[1] * down + fall[2] > 0.05
-    spot = geo.cast_pixel(u, v, *pose, camera=camera)
-    return rows.where(steep).select("run_id", us, spot.alias("s")).select("run_id", "t_us", "s.*")
+    spot = geo.cast_pixel(u, v, *pose)
+    return rows.select("run_id", us, spot.alias("s")).select("run_id", "t_us", "s.*")
 
 
 @query(

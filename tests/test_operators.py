@@ -196,6 +196,13 @@ def test_radius_join_of_all_runs(spark, tmp_path):
     assert len({r.left_run for r in got}) > 2
 
 
+def test_raycast_keeps_rays_near_the_horizon(spark, tmp_path):
+    df = spark.createDataFrame([(419, 1, "view", 103_680_000, 5.0), (60, 1, "view", 103_680_000, 5.0)], "event_id bigint, user_id bigint, event_type string, us bigint, value double")
+    df.withColumn("ts", F.timestamp_micros("us")).drop("us").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(r.ground_distance_m for r in catalog.raycast(spark, str(tmp_path)).collect())
+    assert len(got) == 2 and got[1] > 20 * 35.0
+
+
 def test_confirmation_falls_back_to_all(spark):
     df = spark.createDataFrame([(1, 1), (1, 5), (2, 1)], "run_id bigint, total_hits bigint")
     assert sorted(tuple(r) for r in entities.confirmed(df).collect()) == [(1, 5), (2, 1)]
