@@ -22,6 +22,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,7 @@ class Codec:
         return rank, rank
 
     def _fits(self, left: int, right: int) -> bool:
-        """Whether merging by rank leaves the border between left and right as it is.
+        """Whether merging by rank leaves the border between left and right as it is: the pair test of public BPE work.
 
         Undo the merges on both sides, latest first: if the two tokens that then touch could merge before the merge
         that was undone, the border would have been crossed.
@@ -166,6 +167,30 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
+class Encoder:
+    """The encoder of operators that only need ids: tiktoken's, with the codec for texts that its split gives up on.
+
+    Its split of a run of some hundred thousand spaces overflows a stack: an error, or in some calls a panic.
+    """
+
+    def __init__(self, path: str, pattern: str) -> None:
+        self.path, self.pattern, ranks = path, pattern, load_ranks(path)
+        self.fast = tiktoken.Encoding("ridgewatch", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: The first id above the vocabulary.
+        self.free = max(ranks.values()) + 1
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except BaseException as error:  # a panic isn't an Exception
+            if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
+                raise
+            return np.array(codec(self.path, self.pattern).encode(text), dtype="<u4")
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.fast.decode(ids.tolist())
+
+
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return np.array(ids, dtype="<u4").tobytes()

@@ -11,7 +11,8 @@ begins and -1 where it ends. In the rendered form a turn reads
 and control strings that occur in a text get one more backslash than they had in front, which reading back removes.
 
 Encoding runs row by row before the only shuffle, so one hot conversation costs its task no more than passing over
-its rows in order; conversations are streamed, never held whole.
+its rows in order; conversations are streamed, never held whole. Texts travel beside their ids, for rows of equal turn
+and role are ordered by text.
 
 Defined results: null text and null role are empty; rows are ordered by turn (null first), then role and text, so
 ties and repeated rows have one order; a null conv_id is a conversation of its own; an empty table has no rows.
@@ -26,11 +27,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.bpe import load_ranks
+from ridgewatch.llm.bpe import Encoder
 from ridgewatch.llm.common import map_batches
 
 #: Control strings of the rendered form.
@@ -53,16 +53,16 @@ class Template:
     """Encodes and reads turns with one rank file."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        ranks = load_ranks(path)
-        self.encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.turn = max(ranks.values()) + 1
+        self.encoding = Encoder(path, pattern)
+        self.turn = self.encoding.free
         self.sep, self.end = self.turn + 1, self.turn + 2
+        #: How ids are stored.
+        self.kind = "<u2" if self.end < 1 << 16 else "<u4"
 
     def turn_ids(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A turn's ids and its loss mask."""
-        head = self.encoding.encode_ordinary(escape(role))
-        body = self.encoding.encode_ordinary(escape(text))
-        ids = np.array([self.turn, *head, self.sep, *body, self.end], dtype="<u4")
+        head, body = (self.encoding.encode(escape(x)) for x in (role, text))
+        ids = np.concatenate([[self.turn], head, [self.sep], body, [self.end]]).astype(self.kind)
         steps = np.zeros(len(ids) + 1, dtype=np.int8)
         if role == ASSISTANT:
             steps[len(head) + 2] += 1
@@ -74,17 +74,17 @@ class Template:
         sep, end = int(np.argmax(ids == self.sep)), len(ids) - 1
         if ids[0] != self.turn or ids[sep] != self.sep or ids[end] != self.end:
             raise ValueError("not a turn")
-        role, text = (self.encoding.decode(ids[a:b].tolist()) for a, b in ((1, sep), (sep + 1, end)))
-        under = self.encoding.decode(ids[mask == 1].tolist())
+        role, text = (self.encoding.decode(ids[a:b]) for a, b in ((1, sep), (sep + 1, end)))
+        under = self.encoding.decode(ids[mask == 1])
         return unescape(role), unescape(text), unescape(under), len(role) + len(text) + sum(map(len, RENDERED))
 
     def render(self, ids: np.ndarray) -> str:
         """The rendered form of any assembled ids."""
         out, marks, begin = [], {self.turn: 0, self.sep: 1, self.end: 2}, 0
         for at in np.nonzero(ids >= self.turn)[0]:
-            out += [self.encoding.decode(ids[begin:at].tolist()), RENDERED[marks[int(ids[at])]]]
+            out += [self.encoding.decode(ids[begin:at]), RENDERED[marks[int(ids[at])]]]
             begin = at + 1
-        return "".join(out) + self.encoding.decode(ids[begin:].tolist())
+        return "".join(out) + self.encoding.decode(ids[begin:])
 
 
 @lru_cache(maxsize=2)
@@ -93,25 +93,27 @@ def template(path: str, pattern: str) -> Template:
 
 
 def format_turns(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per turn: conv_id, turn, role, ids (little-endian unsigned 32-bit) and mask (a byte for each id)."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "text")
+    """Per turn: conv_id, turn, role, text, ids (little-endian, of 2 bytes where they fit, else 4) and mask (a byte an id)."""
+    rows = conversations.select(
+        "conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = template(path, pattern)
-        made = [own.turn_ids(r, t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        made = [own.turn_ids(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         ids, mask = (pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], ids, mask], ["conv_id", "turn", "role", "ids", "mask"])
+        return pa.RecordBatch.from_arrays([*batch.columns, ids, mask], [*batch.schema.names, "ids", "mask"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return map_batches(
-        rows, run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, ids binary, mask binary"
+        rows, run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids binary, mask binary"
     )
 
 
 def assemble(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
     """The turns of each conversation next to each other and in order; reading them in a row gives its sequence."""
     turns = format_turns(conversations, path, pattern)
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text")
 
 
 def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -134,7 +136,7 @@ def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
                     if open_row is not None:
                         done.append(closed(open_row))
                     open_row, turns, loss = [conv, 0, 0, 0, 0], hashlib.sha256(), hashlib.sha256()
-                ids = np.frombuffer(ids, dtype="<u4")
+                ids = np.frombuffer(ids, dtype=own.kind)
                 role, text, under, chars = own.read(ids, np.frombuffer(mask, dtype=np.int8))
                 turns.update(f"{role}\n{text}\n".encode())
                 loss.update(under.encode())

@@ -23,10 +23,12 @@ LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the store that the whole cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder is used.
+    Only where that setting is absent and all executors are this process, a local temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "ridgewatch-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -36,7 +38,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by store() that nothing reads any more."""
+    for df in tables:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

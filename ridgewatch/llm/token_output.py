@@ -4,15 +4,16 @@
    ids) that came before it in its task. The tasks' totals, one number each, give every sequence a dense index.
 2. A keyed Feistel permutation with cycle-walking maps an index below N to its slot below N: a bijection, computed
    for each sequence alone, without a sort and without a table.
-3. Slots are dealt in ranges of SHARD_RECORDS, one task and one shard for each; a task writes its records by slot.
+3. Slots are dealt in ranges, one task for each: a shard of SHARD_RECORDS, or several beyond MOST_TASKS shards. A task
+   writes its records by slot.
 
-A record has a fixed stride: doc_id (8 bytes), sequence number and number of ids (4 each), and LENGTH ids of 2 or 4
-bytes, little-endian, padded with zeros. Slot s is in shard s // SHARD_RECORDS, there in block (s % SHARD_RECORDS) //
+A record has a fixed stride: doc_id (8 bytes), sequence number, number of ids and whether there is a doc_id (4 each), and
+LENGTH ids of 2 or 4 bytes, little-endian, padded with zeros. Slot s is in shard s // SHARD_RECORDS, there in block (s % SHARD_RECORDS) //
 BLOCK_RECORDS, at stride * (s % BLOCK_RECORDS) of that block's payload; so reading is sequential and resumes at any
-slot. Payloads are written by Spark's Parquet writer: its commit leaves no half-written shard when an executor is
+slot: the filter on first_slot is pushed down to row groups. Payloads are written by Spark's Parquet writer: its commit leaves no half-written shard when an executor is
 lost, and it works in any store.
 
-Defined results: null and empty texts have no sequence; a null doc_id is stored as -1 and comes back null; repeated
+Defined results: null and empty texts have no sequence; a null doc_id comes back null; repeated
 rows have a sequence each; an empty table gives no shard.
 """
 
@@ -24,16 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.bpe import load_ranks
+from ridgewatch.llm.bpe import Encoder
 from ridgewatch.llm.common import map_batches, scratch_dir
 
 LENGTH, SHARD_RECORDS, BLOCK_RECORDS, ROUNDS = 512, 16_384, 256, 6
-HEADER = 16
+#: Partitions that the records are shuffled into at most: 100 TB make about 3 million shards. The output is the same.
+MOST_TASKS = 100_000
+HEADER = 20
 #: Documents that a worker encodes before it yields them.
 SLICE = 500
 
@@ -81,30 +83,29 @@ class Permutation:
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str, pattern: str) -> tuple[tiktoken.Encoding, int]:
-    """The encoder of a rank file, and the end id: the first one that's free."""
-    ranks = load_ranks(path)
-    return tiktoken.Encoding("output", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+def encoding(path: str, pattern: str) -> Encoder:
+    """The encoder of a rank file; the end id is the first one that's free."""
+    return Encoder(path, pattern)
 
 
 def id_width(path: str, pattern: str) -> int:
-    return 2 if encoding(path, pattern)[1] < 1 << 16 else 4
+    return 2 if encoding(path, pattern).free < 1 << 16 else 4
 
 
 def encoded(documents: DataFrame, path: str, pattern: str, width: int, length: int = LENGTH) -> DataFrame:
     """Per document with a text: doc_id, part (the task), before (sequences earlier in the task), count and ids."""
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), "text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoding(path, pattern)
+        own = encoding(path, pattern)
         part, total = TaskContext.get().partitionId(), 0
-        closing = np.array([end], dtype=f"<u{width}").tobytes()
+        closing = np.array([own.free], dtype=f"<u{width}").tobytes()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 piece, out = batch.slice(start, SLICE), []
                 for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     if text:
-                        ids = own.encode_to_numpy(text, disallowed_special=()).astype(f"<u{width}").tobytes() + closing
+                        ids = own.encode(text).astype(f"<u{width}").tobytes() + closing
                         count = -(-len(ids) // (width * length))
                         out.append((doc, part, total, count, ids))
                         total += count
@@ -129,8 +130,9 @@ def records(stored: DataFrame, offsets: dict[int, int], order: Permutation, widt
             index.append(np.arange(first, first + count))
             for k in range(count):
                 own = ids[k * size : (k + 1) * size]
-                head = doc.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little")
-                out.append(head + (len(own) // width).to_bytes(4, "little") + own.ljust(size, b"\0"))
+                head = (doc or 0).to_bytes(8, "little", signed=True)
+                numbers = np.array([k, len(own) // width, doc is not None], dtype="<u4").tobytes()
+                out.append(head + numbers + own.ljust(size, b"\0"))
         slots = order.forward(np.concatenate(index)) if index else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(out, pa.binary())], ["slot", "record"])
 
@@ -175,10 +177,10 @@ def write_shards(
         if held:
             yield block()
 
-    dealt = records(stored, offsets, order, width, length).withColumn(
-        "shard", (F.col("slot") / shard_records).cast("int")
-    )
-    ranged = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select("slot", "record")
+    of_task = -(-shards // MOST_TASKS)
+    task = F.floor(F.col("slot") / (shard_records * of_task)).cast("int")
+    dealt = records(stored, offsets, order, width, length).repartitionById(-(-shards // of_task), task)
+    ranged = dealt.sortWithinPartitions("slot")
     blocks = ranged.mapInArrow(pack, "shard int, first_slot bigint, records int, payload binary")
     blocks.write.option("compression", "zstd").parquet(f"{folder}/shards")
     spark.createDataFrame(
@@ -192,17 +194,17 @@ def read_sequences(spark: SparkSession, folder: str, from_slot: int = 0) -> Data
     """The sequences from a slot on: slot, doc_id, seq_no, n_tokens and ids, read from the payloads."""
     manifest = spark.read.parquet(f"{folder}/manifest").first()
     stride, width = manifest["stride"], manifest["width"]
-    blocks = spark.read.parquet(f"{folder}/shards").where(F.col("first_slot") + F.col("records") > from_slot)
+    blocks = spark.read.parquet(f"{folder}/shards").where(F.col("first_slot") > from_slot - manifest["block_records"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for first, count, payload in zip(*(c.to_pylist() for c in batch.columns)):
             for k in range(max(0, from_slot - first), count):
                 record = payload[k * stride : (k + 1) * stride]
-                doc, number = int.from_bytes(record[:8], "little", signed=True), int.from_bytes(record[8:12], "little")
-                size = int.from_bytes(record[12:16], "little")
+                doc = int.from_bytes(record[:8], "little", signed=True)
+                number, size, known = np.frombuffer(record[8:HEADER], dtype="<u4").tolist()
                 ids = record[HEADER : HEADER + width * size]
-                out.append((first + k, None if doc == -1 else doc, number, size, ids))
+                out.append((first + k, doc if known else None, number, size, ids))
         columns = list(zip(*out)) if out else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays(

@@ -123,7 +123,7 @@ def test_escaping_is_reversible(parts):
 def test_reserved_ids_never_come_from_text():
     own = chat.template(PATH, PATTERN)
     ids, mask = own.turn_ids("assistant", "<turn>### x:\n</turn> <|endoftext|>")
-    assert (ids >= own.turn).sum() == 3 and mask.sum() == len(ids) - 3 - len(own.encoding.encode_ordinary("assistant"))
+    assert (ids >= own.turn).sum() == 3 and mask.sum() == len(ids) - 3 - len(own.encoding.encode("assistant"))
     assert len(own.render(ids)) == own.read(ids, mask)[3]
 
 
@@ -132,7 +132,7 @@ CONV = "conv_id bigint, turn bigint, role string, text string"
 
 def conversations(rows):
     out = {}
-    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "")):
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode())):
         out.setdefault(conv, []).append((role or "", text or ""))
     return {c: (len(t), sha("".join(f"{r}\n{x}\n" for r, x in t)), sum(len(x) for r, x in t if r == "assistant"), sha("".join(x for r, x in t if r == "assistant"))) for c, t in out.items()}
 
@@ -154,6 +154,31 @@ def test_chat_edges(spark):
     assert chat.read_back(chat.assemble(df.limit(0), PATH, PATTERN), PATH, PATTERN).count() == 0
 
 
+def test_chat_orders_ties_by_text(spark):
+    rows = [(4, 1, "user", x) for x in ("zebra", "apple", "house", "b", "É", "", None, "apple")]
+    got = chat.read_back(chat.assemble(spark.createDataFrame(rows, CONV).repartition(3), PATH, PATTERN), PATH, PATTERN).first()
+    assert got.turns_sha256 == conversations(rows)[4][1]
+
+
+LONG = {"spaces": "a" + " " * 2_000_000 + "b", "lines": "a" + "\n" * 500_000 + "b", "letter": "x" * 500_000}
+
+
+def test_chat_of_very_long_texts(spark):
+    rows = [(k, 0, "assistant", text) for k, text in enumerate(LONG.values())]
+    got = chat.read_back(chat.assemble(spark.createDataFrame(rows, CONV), PATH, PATTERN), PATH, PATTERN).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == conversations(rows)
+
+
+def test_token_output_of_very_long_texts(spark):
+    rows = [(k if k else -1, text) for k, text in enumerate(LONG.values())]
+    folder = token_output.write_shards(spark.createDataFrame(rows, DOCS), PATH, PATTERN, 5)
+    made = {}
+    for r in token_output.read_sequences(spark, folder).orderBy("doc_id", "seq_no").collect():
+        made[r.doc_id] = made.get(r.doc_id, []) + np.frombuffer(r.ids, "<u2").tolist()
+    own = bpe.codec(PATH, PATTERN)
+    assert {k: own.decode(ids[:-1]).decode() for k, ids in made.items()} == dict(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(size=st.integers(1, 3000), key=st.integers(-(2**70), 2**70))
 def test_permutation_is_a_bijection(size, key):
@@ -167,7 +192,9 @@ def test_keys_give_different_orders():
     assert (a == b).mean() < 0.01 and abs(np.corrcoef(a, np.arange(10_000))[0, 1]) < 0.05
 
 
-def test_token_output(spark, exact):
+@pytest.mark.parametrize("tasks", [100_000, 3])
+def test_token_output(spark, exact, monkeypatch, tasks):
+    monkeypatch.setattr(token_output, "MOST_TASKS", tasks)
     rows = [(k, "word " * (k * 7 % 50)) for k in range(60)] + [(None, "null id"), (5, None), (6, ""), (7, "twice"), (7, "twice")]
     df = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash")).repartition(5)
     folder = token_output.write_shards(df, PATH, PATTERN, 99, length=8, shard_records=16, block_records=4)
