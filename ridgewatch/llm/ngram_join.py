@@ -11,21 +11,28 @@ into fragments; each task holds one fragment of all sets, packed.
    n-grams of either in the global order. N-grams that only one set has come first, so the prefix of a set with many
    own n-grams reaches few shared ones. Sets of comparable size with the same prefix n-gram form a bucket. Buckets
    with the same best member (fewest own n-grams) make one group; any two sets that meet in a bucket meet in its group.
-4. A group compares its best member with all others, then only those sets that haven't yet come into its component
-   with all others. A pair's overlap is counted in fragments of the order and summed until none can be enough. So no pair is emitted that doesn't link, and a group of copies costs its size, while every link
-   that could join two components is tested. A group emits at most one link for each
-   member, which needn't be a similar pair but joins the right components; link_counts has a group emit all true links.
-5. Components of the links, by smallest labels with pointer jumping, written after each round.
-
-Bounded memory: a fragment holds FRAGMENT_TOKENS n-grams on average and an n-gram counts in it once for each chunk of
-CHUNK_TOKENS, however many texts have it; a group of more than GROUP_TOKENS n-grams is dealt to pairs of blocks.
+4. A group's candidate pairs are its best member with each other one, as many as it has members. Their n-grams are cut
+   into PAIR_FRAGMENTS fragments of the global order; each fragment counts every pair's partial overlap by itself, and
+   the partial counts are summed for each pair in a shuffle. Large groups are dealt to blocks of BLOCK_TOKENS, each with
+   the best member's fragment, so a group of a third of all rows is many tasks.
+5. Members that aren't similar to their best one may link with others of the group: these few are compared with all
+   others, in blocks, and only while they haven't yet come into the component; a pair's overlap is again summed over
+   fragments, until none can be enough. Such a task emits at most one link for each member, which needn't be a similar
+   pair but joins the right components. So no pair is emitted but with a best member, a group of copies costs its size,
+   and every link that could join two components is tested. link_counts has a group emit all true links.
+6. Components of the links, by smallest labels with pointer jumping, written after each round.
+
+Bounded memory: a fragment holds FRAGMENT_TOKENS n-grams on average, however many fragments that makes, and an n-gram
+counts in it once for each chunk of CHUNK_TOKENS, however many texts have it. Beyond MOST_TASKS fragments a task goes
+through several, one after another.
 
 Hashes have 64 bits (an n-gram) and 128 bits (a set). Within a fragment n-grams are told apart by 48 more bits than the
 fragment's number. A collision can matter only inside one pair of sets or, in step 2, keep a set for step 3.
 
 Defined results: null, empty and blank texts have no n-grams and link with nothing; fewer than SHINGLE words are one
 n-gram; rows with a null id have no component (null) and link nothing; rows with equal ids are separate texts, and
-ids never link; an empty table gives an empty result.
+ids never link; an empty table gives an empty result. one_of_each keeps one row of each component, that with the
+smallest id, whatever other rows have that id: rows are told apart by id and text, and of rows equal in both one stays.
 """
 
 from __future__ import annotations
@@ -35,15 +42,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.common import LOWER_ASCII, fresh, give_back_memory, map_batches, store, utf8
+from ridgewatch.llm.common import LOWER_ASCII, discard, fresh, give_back_memory, map_batches, store, utf8
 
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-FRAGMENT_TOKENS, CHUNK_TOKENS, GROUP_TOKENS = 4_000_000, 1_000_000, 4_000_000
+FRAGMENT_TOKENS, CHUNK_TOKENS, GROUP_TOKENS, BLOCK_TOKENS = 4_000_000, 1_000_000, 1_000_000, 250_000
+#: Partitions that fragments are shuffled into at most; results don't depend on it.
+MOST_TASKS = 50_000
 _FACTORS = np.array([0x9E3779B97F4A7C15 * k | 1 for k in range(3, 99, 2)], dtype=object) % (1 << 64)
 
 
@@ -78,18 +87,19 @@ def needed(n: int, similarity: int) -> int:
 
 
 def set_ids(documents: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """Per row: key, n (the set's size) and sid (16 bytes, null for an empty set)."""
-    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    """Per row: key, mark (a hash of its text), n (the set's size) and sid (16 bytes, null for an empty set)."""
+    own = F.col(text).cast("string")
+    rows = documents.select(F.col(key).alias("key"), own.alias("text"), F.xxhash64(own).alias("mark"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [ngrams(data, size) for data in utf8(batch.column(1))]
         sids = [set_id(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sids, pa.binary())],
-            ["key", "n", "sid"],
+            [batch.column(0), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(sids, pa.binary())],
+            ["key", "mark", "n", "sid"],
         )
 
-    return map_batches(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n bigint, sid binary")
+    return map_batches(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, mark bigint, n bigint, sid binary")
 
 
 # A packed segment row holds some n-grams of many sets: a key for each set (KEY_BYTES of its id), runs (how many n-grams
@@ -106,7 +116,7 @@ KEY_BYTES, LONGEST_RUN = 10, (1 << 16) - 1
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
-    return (grams >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)
+    return (grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
 
 
 def _collector(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -254,16 +264,21 @@ def _count_fragment(part: int, rows: list[tuple], fragments: int) -> list[tuple]
     del piece, owner, grams
     owner, grams = _unique_pairs(*(np.concatenate(x) for x in zip(*found)))
     # The high 16 bits are lost but for the fragment, so n-grams are known by fragment and low bits from here on.
-    grams = grams | np.uint64(part % (1 << 16)) << np.uint64(48)
+    grams = _named(grams, np.uint64(part))
     place = _collector(keys, fragments)[owner]
     order = np.argsort(place, kind="stable")
     return [_pack(fragments + to, keys, owner[order[a:b]], grams[order[a:b]]) for to, a, b in _bounds(place[order])]
 
 
+def _named(low: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """64-bit names of n-grams known by their low 48 bits and their fragment; their order is the global one."""
+    with np.errstate(over="ignore"):
+        return _mix(low ^ part * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _rename(grams: np.ndarray, fragments: int) -> np.ndarray:
-    """Whole hashes as fragment (16 bits) and low 48 bits, as _count_fragment names them."""
-    part = _fragment(grams, fragments) % np.uint64(1 << 16)
-    return grams & np.uint64((1 << 48) - 1) | part << np.uint64(48)
+    """Whole hashes named as _count_fragment names them."""
+    return _named(grams & np.uint64((1 << 48) - 1), _fragment(grams, fragments))
 
 
 def _directory(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,13 +316,20 @@ def by_part(fn: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> Calla
 
 
 def _dealt(df: DataFrame, parts: int) -> DataFrame:
-    """Each part in a partition of its own: no two large parts meet in a task, and nothing is sorted."""
-    return df.repartitionById(parts, F.col("part"))
+    """Each part in a partition of its own: no two large parts meet in a task, and nothing is sorted.
+
+    Beyond MOST_TASKS a partition holds a range of parts, sorted.
+    """
+    of_task = -(-parts // MOST_TASKS)
+    if of_task == 1:
+        return df.repartitionById(parts, F.col("part"))
+    dealt = df.repartitionById(-(-parts // of_task), F.floor(F.col("part") / of_task).cast("int"))
+    return dealt.sortWithinPartitions("part")
 
 
 def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, text: str) -> DataFrame:
     """The sets that may link: sid, n, own (n-grams that no other set has) and grams, the others in their order."""
-    fragments = min(max(1, -(-total // FRAGMENT_TOKENS)), 1 << 16)
+    fragments = max(1, -(-total // FRAGMENT_TOKENS))
     texts = documents.select(F.col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,89 +429,194 @@ def groups(sets: DataFrame, similarity: int) -> DataFrame:
     return met.select("lead", "sid", "n", "code").distinct()
 
 
-def _links(members: list[tuple], similarity: int, every: bool = False) -> list[tuple[bytes, bytes]]:
-    """Links that join a group's members into their components. members: code, sid, n, grams.
+def _deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt and sorted by part, which tells the values of keys."""
+    part = F.concat_ws(":", *keys).alias("part")
+    rows = df.select(part, *[c for c in df.columns if c not in keys])
+    return rows.repartition("part").sortWithinPartitions("part")
+
 
-    With every, all links of the group: each pair once, the smaller sid first.
+def _blocks(tokens: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(tokens / size).cast("int"))
 
-    The group's n-grams are cut into PAIR_FRAGMENTS ranges of the global order. A pair's overlap is the sum of its partial
-    overlaps, range after range, until no pair can reach the similarity any more.
+
+def _block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("sid"), blocks).cast("int")
+
+
+def _every(blocks: Column) -> Column:
+    return F.sequence(F.lit(0), blocks - 1)
+
+
+def pair_overlaps(members: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """The partial overlaps of each group's best member with its others, a row for each fragment and pair that meet
+    there: lead, sid, partial. heads: lead, head (the best member's sid) and tokens."""
+    own = members.join(heads.select("lead", "head", _blocks(F.col("tokens"), BLOCK_TOKENS).alias("blocks")), "lead")
+    is_head = F.col("sid") == F.col("head")
+    blocks = F.when(is_head, _every(F.col("blocks"))).otherwise(F.array(_block_of(F.col("blocks"))))
+    rows = own.select("lead", "sid", F.explode(blocks).alias("block"), (~is_head).alias("late")).join(
+        sets.select("sid", "grams"), "sid"
+    )
+    edges = (np.arange(1, PAIR_FRAGMENTS, dtype=np.float64) * (2.0**64 / PAIR_FRAGMENTS)).astype(np.uint64)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for lead, sid, block, late, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            grams = np.frombuffer(packed, dtype="<u8")
+            bounds = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
+            out += [(lead, block, v, late, sid, packed[8 * a : 8 * b]) for v, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        columns = list(zip(*out)) if out else [()] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        names = ["lead", "block", "fragment", "late", "sid", "grams"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    pieces = map_batches(
+        rows.select("lead", "sid", "block", "late", "grams"), cut,
+        "lead bigint, block int, fragment int, late boolean, sid binary, grams binary",
+    )
+
+    def count(part: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        head = [row for row in rows if not row[1]]
+        others = [row for row in rows if row[1]]
+        if not head or not others:
+            return
+        best = np.frombuffer(head[0][3], dtype="<u8")
+        grams = np.frombuffer(b"".join(row[3] for row in others), dtype="<u8")
+        at = np.minimum(np.searchsorted(best, grams), len(best) - 1)
+        starts = np.cumsum([0, *(len(row[3]) // 8 for row in others[:-1])])
+        common = np.add.reduceat((best[at] == grams).astype(np.int64), starts)
+        met = np.nonzero(common)[0]
+        leads = pa.array(np.full(len(met), int(part.split(":")[0]), dtype=np.int64))
+        sids = pa.array([others[k][2] for k in met], pa.binary())
+        yield pa.RecordBatch.from_arrays([leads, sids, pa.array(common[met])], ["lead", "sid", "partial"])
+
+    dealt = _deal(pieces.select("lead", "block", "fragment", "late", "sid", "grams"), "lead", "block", "fragment")
+    return dealt.mapInArrow(by_part(count), "lead bigint, sid binary, partial bigint")
+
+
+class _Group:
+    """Sets of one task, for which alike() finds those similar to one of them.
+
+    N-grams are cut into PAIR_FRAGMENTS ranges of the global order. A pair's overlap is the sum of its partial overlaps,
+    range after range, until no pair can reach the similarity any more. sets: (n, grams).
     """
-    sizes = np.array([m[2] for m in members])
-    parts = [np.frombuffer(m[3], dtype="<u8") for m in members]
-    held = np.array(list(map(len, parts)))
-    owner, local = np.repeat(np.arange(len(parts)), held), np.unique(np.concatenate(parts), return_inverse=True)[1]
-    count = int(local.max()) + 1
-    fragment = local * PAIR_FRAGMENTS // count
-    in_fragment = np.bincount(owner * PAIR_FRAGMENTS + fragment, minlength=len(parts) * PAIR_FRAGMENTS)
-    in_fragment = in_fragment.reshape(-1, PAIR_FRAGMENTS)
-    cuts = [(local[fragment == v], np.concatenate([[0], np.cumsum(in_fragment[:, v])])) for v in range(PAIR_FRAGMENTS)]
-    starts = np.concatenate([[0], np.cumsum(held)])
-    mark = np.zeros(count, dtype=np.int32)
-    root = np.arange(len(members))
-
-    def alike(k: int) -> np.ndarray:
-        own = local[starts[k] : starts[k + 1]]
-        mark[own] = 1
-        common, rest = np.zeros(len(parts), dtype=np.int64), held.copy()
-        for v, (tokens, bounds) in enumerate(cuts):
-            summed = np.concatenate([[0], np.cumsum(mark[tokens])])
+
+    def __init__(self, sets: list[tuple[int, bytes]], similarity: int) -> None:
+        self.similarity, self.sizes = similarity, np.array([n for n, _ in sets])
+        parts = [np.frombuffer(packed, dtype="<u8") for _, packed in sets]
+        self.held = np.array(list(map(len, parts)))
+        owner, local = np.repeat(np.arange(len(parts)), self.held), np.unique(np.concatenate(parts), return_inverse=True)[1]
+        count = int(local.max(initial=0)) + 1
+        fragment = local * PAIR_FRAGMENTS // count
+        placed = np.bincount(owner * PAIR_FRAGMENTS + fragment, minlength=len(parts) * PAIR_FRAGMENTS)
+        self.placed, self.local = placed.reshape(-1, PAIR_FRAGMENTS), local
+        self.cuts = [(local[fragment == v], np.concatenate([[0], np.cumsum(self.placed[:, v])])) for v in range(PAIR_FRAGMENTS)]
+        self.starts, self.mark = np.concatenate([[0], np.cumsum(self.held)]), np.zeros(count, dtype=np.int32)
+
+    def alike(self, k: int) -> np.ndarray:
+        """The numbers of the sets similar to the k-th, without itself."""
+        own = self.local[self.starts[k] : self.starts[k + 1]]
+        self.mark[own] = 1
+        common, rest = np.zeros(len(self.held), dtype=np.int64), self.held.copy()
+        for v, (tokens, bounds) in enumerate(self.cuts):
+            summed = np.concatenate([[0], np.cumsum(self.mark[tokens])])
             common += summed[bounds[1:]] - summed[bounds[:-1]]
-            rest -= in_fragment[:, v]
+            rest -= self.placed[:, v]
             most = common + np.minimum(rest, rest[k])
-            within = 100 * most >= similarity * (sizes + sizes[k] - most)
+            within = 100 * most >= self.similarity * (self.sizes + self.sizes[k] - most)
             within[k] = False
             if not within.any():
                 break
-        mark[own] = 0
+        self.mark[own] = 0
         return np.nonzero(within)[0]
 
-    def link_with_all(k: int) -> None:
-        joined = np.unique(root[np.append(alike(k), k)])
-        root[np.isin(root, joined)] = joined.min()
 
-    if every:
-        sids = [m[1] for m in members]
-        return [(min(sids[k], sids[j]), max(sids[k], sids[j])) for k in range(len(sids)) for j in alike(k) if j > k]
-    centre = min(range(len(members)), key=lambda k: (members[k][0], members[k][1]))
-    link_with_all(centre)
-    for k in range(len(members)):
-        if root[k] != root[centre]:
-            link_with_all(k)
-    return [(members[root[k]][1], members[k][1]) for k in range(len(members)) if root[k] != k]
+def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*found)) if found else [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
 
 
-def links(sets: DataFrame, similarity: int, every: bool = False) -> DataFrame:
-    """Links a, b between sids, enough for all components; with every, all of them, each once."""
+def rest_links(rest: DataFrame, members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links a, b that join members in rest to others of their group. rest and members: lead, sid, n; joined members of
+    a group are in one component already."""
+    size = lambda rows, name: rows.groupBy("lead").agg(_blocks(F.sum("n"), GROUP_TOKENS).alias(name))
+    late = rest.select("lead", "sid").withColumn("late", F.lit(True))
+    counts = size(rest, "own").join(size(members, "others"), "lead")
+    own = rest.join(counts, "lead").select(
+        "lead", "sid", _block_of(F.col("own")).alias("i"), F.explode(_every(F.col("others"))).alias("j"), F.lit(0).alias("role")
+    )
+    others = members.join(counts, "lead").join(late, ["lead", "sid"], "left").select(
+        "lead", "sid", F.explode(_every(F.col("own"))).alias("i"), _block_of(F.col("others")).alias("j"),
+        F.when(F.col("late"), 2).otherwise(1).alias("role"),
+    )
+    rows = own.unionByName(others).join(sets.select("sid", "n", "grams"), "sid")
+
+    def run(_: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        asked = [row for row in rows if row[1] == 0]
+        names = {row[2] for row in asked}
+        held = asked + [row for row in rows if row[1] > 0 and row[2] not in names]
+        group = _Group([(row[3], row[4]) for row in held], similarity)
+        first = next((k for k, row in enumerate(held) if row[1] == 1), -1)
+        root = np.array([first if row[1] == 1 else k for k, row in enumerate(held)])
+        for k in range(len(asked)):
+            if first < 0 or root[k] != root[first]:
+                joined = np.unique(root[np.append(group.alike(k), k)])
+                root[np.isin(root, joined)] = joined.min()
+        yield _pairs_batch([(held[root[k]][2], held[k][2]) for k in range(len(held)) if root[k] != k and not (held[k][1] == 1 and root[k] == first)])
+
+    dealt = _deal(rows.select("lead", "i", "j", "role", "sid", "n", "grams"), "lead", "i", "j")
+    return dealt.mapInArrow(by_part(run), "a binary, b binary")
+
+
+def links(sets: DataFrame, similarity: int) -> DataFrame:
+    """Links a, b between sids, enough for all components; stored."""
     members = store(groups(sets, similarity), "ngram-groups")
-    blocks = members.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("blocks"), F.count("*").alias("k"))
-    block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    heads = members.groupBy("lead").agg(
+        F.min(F.struct("code", "sid", "n")).alias("best"), F.sum("n").alias("tokens"), F.count("*").alias("k")
+    ).where("k > 1").select("lead", "k", "tokens", F.col("best.sid").alias("head"), F.col("best.n").alias("head_n"))
+    summed = pair_overlaps(members, heads, sets).groupBy("lead", "sid").agg(F.sum("partial").alias("common"))
+    common = F.coalesce("common", F.lit(0))
+    alike = 100 * common >= similarity * (F.col("n") + F.col("head_n") - common)
+    tested = store(
+        members.join(heads, "lead").where("sid <> head").join(summed, ["lead", "sid"], "left")
+        .select("lead", "sid", "n", "head", "k", alike.alias("alike")),
+        "ngram-pairs",
+    )
+    found = tested.where("alike").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    rest = tested.where("not alike and k > 2").select("lead", "sid", "n")
+    if not rest.isEmpty():
+        others = tested.join(rest.select("lead").distinct(), "lead", "left_semi").select("lead", "sid", "n")
+        found = found.unionByName(rest_links(rest, others, sets, similarity))
+    out = store(found.distinct(), "ngram-links")
+    discard(members, tested)
+    return out
+
+
+def all_links(sets: DataFrame, similarity: int) -> DataFrame:
+    """All links a, b between sids, each once, a the smaller one; stored."""
+    members = store(groups(sets, similarity), "ngram-groups")
+    counts = members.groupBy("lead").agg(_blocks(F.sum("n"), GROUP_TOKENS).alias("blocks"), F.count("*").alias("k"))
+    own = _block_of(F.col("blocks"))
     # One block: a task of its own. More: each pair of blocks is a task, so that every two members meet.
-    pairs = F.when(F.col("blocks") <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.col("blocks") - 1),
-                lambda b: F.struct(F.least(block, b).alias("i"), F.greatest(block, b).alias("j")),
-            ),
+            F.transform(_every(F.col("blocks")), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j"))),
             lambda p: p["i"] < p["j"],
         )
     )
-    dealt = (
-        members.join(blocks.where("k > 1").select("lead", "blocks"), "lead")
-        .select("lead", "sid", "code", F.inline(pairs))
-        .join(sets.select("sid", "n", "grams"), "sid")
-        .select(F.struct("lead", "i", "j").alias("part"), "code", "sid", "n", "grams")
-        .select(F.concat_ws(":", "part.lead", "part.i", "part.j").alias("part"), "code", "sid", "n", "grams")
-        .repartition("part").sortWithinPartitions("part")
-    )
+    rows = members.join(counts.where("k > 1"), "lead").select("lead", "sid", F.inline(pairs)).join(
+        sets.select("sid", "n", "grams"), "sid"
+    )
 
     def run(_: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = _links([row[1:] for row in rows], similarity, every)
-        columns = list(zip(*found)) if found else [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+        sids, group = [row[1] for row in rows], _Group([(row[2], row[3]) for row in rows], similarity)
+        found = [(sids[k], sids[j]) for k in range(len(sids)) for j in group.alike(k) if j > k]
+        yield _pairs_batch([(min(p), max(p)) for p in found])
 
-    made = dealt.mapInArrow(by_part(run), "a binary, b binary")
-    return made.distinct() if every else made
+    dealt = _deal(rows.select("lead", "i", "j", "sid", "n", "grams"), "lead", "i", "j")
+    out = store(dealt.mapInArrow(by_part(run), "a binary, b binary").distinct(), "ngram-all-links")
+    discard(members)
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -506,23 +633,35 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def _prepared(documents: DataFrame, size: int, similarity: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """set_ids of all rows and shared_sets of those with a key, stored."""
+    ids = store(set_ids(documents, size, key, text), "ngram-ids")
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linkable = documents.where(F.col(key).isNotNull())
+    return ids, store(shared_sets(linkable, total, size, similarity, text), "ngram-sets")
+
+
+def classes(documents: DataFrame, size: int, similarity: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """set_ids of all rows, and the class of each set of rows with a key that isn't alone: sid and whole (a sid)."""
+    ids, sets = _prepared(documents, size, similarity, key, text)
+    found = links(sets, similarity)
+    discard(sets)
+    labels = components(found, "ngram-components")
+    return ids, labels.select(F.col("v").alias("sid"), F.col("c").alias("whole"))
+
+
 def near_duplicates(
     documents: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per row: the key, n_shingles and component_id, the smallest key that it reaches by links."""
-    ids = store(set_ids(documents, size, key, text), "ngram-ids")
-    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    linkable = documents.where(F.col(key).isNotNull())
-    sets = store(shared_sets(linkable, total, size, similarity, text), "ngram-sets")
-    found = store(links(sets, similarity), "ngram-links")
+    ids, labels = classes(documents, size, similarity, key, text)
+    # Copies are merged before the classes are: a set with a third of all rows is one row here.
     least = ids.where("sid is not null and key is not null").groupBy("sid").agg(F.min("key").alias("least"))
-    if not found.isEmpty():
-        labels = components(found, "ngram-components").withColumnRenamed("v", "sid")
-        named = least.join(labels, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
-        whole = named.groupBy("c").agg(F.min("least").alias("whole"))
-        least = named.join(whole, "c").select("sid", F.col("whole").alias("least"))
-    own = F.when(F.col("key").isNotNull(), F.coalesce("least", "key"))
-    return ids.join(least, "sid", "left").select(
+    named = least.join(labels, "sid", "left").withColumn("whole", F.coalesce("whole", "sid"))
+    whole = named.groupBy("whole").agg(F.min("least").alias("first"))
+    of_set = named.join(whole, "whole").select("sid", "first")
+    own = F.when(F.col("key").isNotNull(), F.coalesce("first", "key"))
+    return ids.join(of_set, "sid", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id")
     )
 
@@ -534,11 +673,8 @@ def link_counts(
 
     Every pair of similar distinct sets is tested and emitted once, so a group costs the number of its links.
     """
-    ids = store(set_ids(documents, size, key, text), "ngram-ids")
-    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    linkable = documents.where(F.col(key).isNotNull())
-    sets = store(shared_sets(linkable, total, size, similarity, text), "ngram-sets")
-    found = store(links(sets, similarity, every=True), "ngram-all-links")
+    ids, sets = _prepared(documents, size, similarity, key, text)
+    found = all_links(sets, similarity)
     copies = ids.where("sid is not null and key is not null").groupBy("sid").agg(F.count("*").alias("copies"))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(copies, F.col("b") == F.col("sid")).groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("far"))
@@ -548,9 +684,24 @@ def link_counts(
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents with one row of each component, that with the smallest key; rows with a null key stay."""
-    joined = near_duplicates(documents, key=key, text=text)
-    own = fresh(documents, "stay")
-    stay = joined.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(own)).distinct()
-    kept = documents.where(F.col(key).isNotNull()).join(stay, F.col(key) == F.col(own), "left_semi")
-    return kept.unionByName(documents.where(F.col(key).isNull()))
+    """documents with one row of each component; rows with a null key or without words stay."""
+    ids, labels = classes(documents, SHINGLE, SIMILARITY, key, text)
+    rows = ids.where("sid is not null and key is not null").groupBy("sid").agg(F.min(F.struct("key", "mark")).alias("first"))
+    whole = rows.join(labels, "sid", "left").groupBy(F.coalesce("whole", "sid").alias("whole"))
+    chosen = whole.agg(F.min("first").alias("first")).select("first.*")
+    times = ids.groupBy("key", "mark").agg(F.count("*").alias("times"))
+    own, mark = fresh(documents, "stay"), fresh(documents, "mark")
+    stay = store(
+        chosen.join(times, ["key", "mark"]).select(F.col("key").alias(own), F.col("mark").alias(mark), "times"), "ngram-stay"
+    )
+    of_text = F.xxhash64(documents[text].cast("string"))
+    alone = documents[key].isNull() | ~F.coalesce(documents[text].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    met = lambda part: documents.where(~alone).join(
+        part, (documents[key] == F.col(own)) & (of_text == F.col(mark)), "left_semi"
+    )
+    kept = documents.where(alone).unionByName(met(stay.where("times = 1").drop("times")))
+    repeated = stay.where("times > 1").drop("times")
+    if not repeated.isEmpty():
+        once = met(repeated).withColumn(mark, F.xxhash64(F.col(f"`{text}`").cast("string"))).dropDuplicates([key, mark])
+        kept = kept.unionByName(once.drop(mark))
+    return kept

@@ -61,9 +61,12 @@ def near(spark, rows, schema=DOCS):
     return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got)
 
 
-@pytest.mark.parametrize("seed,sizes", [(1, (3_000_000, 1_000_000, 4_000_000)), (2, (400, 200, 150)), (3, (150, 90, 40))])
+@pytest.mark.parametrize(
+    "seed,sizes",
+    [(1, (3_000_000, 1_000_000, 4_000_000, 250_000, 50_000)), (2, (400, 200, 150, 90, 50_000)), (3, (150, 90, 40, 60, 4)), (5, (300, 90, 4_000_000, 200, 7))],
+)
 def test_components_equal_brute_force(spark, monkeypatch, seed, sizes):
-    for name, value in zip(("FRAGMENT_TOKENS", "CHUNK_TOKENS", "GROUP_TOKENS"), sizes):
+    for name, value in zip(("FRAGMENT_TOKENS", "CHUNK_TOKENS", "GROUP_TOKENS", "BLOCK_TOKENS", "MOST_TASKS"), sizes):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(seed)
     rows = []
@@ -113,6 +116,41 @@ def test_near_duplicate_edges(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "None"] and kept[0].stay == "s"
 
 
+def test_more_than_65536_fragments(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FRAGMENT_TOKENS", 1)
+    monkeypatch.setattr(ngram_join, "MOST_TASKS", 8)
+    rows = [(k, " ".join(f"w{k // 2 * 4000 + j}" for j in range(k % 2, 3500))) for k in range(20)]
+    rows += [(100, rows[3][1]), (101, "a few words of its own here")]
+    assert near(spark, rows) == components(rows)
+
+
+def test_chains_within_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 500)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
+    rng, rows = random.Random(11), []
+    words = [f"v{k}" for k in range(80)]
+    for k in range(60):
+        rows.append((k, " ".join(words)))
+        words[rng.randrange(80)] = f"n{k}"
+    rng.shuffle(rows)
+    assert near(spark, rows) == components(rows)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, a), (9, c), (9, c), (None, a), (None, a), (4, None), (4, " "), (4, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("mark", F.lit("clash")).withColumn("stay", F.lit(1))
+    kept = ngram_join.one_of_each(df.repartition(3))
+    wanted = [(3, b), (5, a), (9, c), (None, a), (None, a), (4, None), (4, " "), (4, None)]
+    assert kept.columns == df.columns and sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(k), str(t)) for k, t in wanted)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rows = [(1, "a" + " " * 2_000_000 + "b"), (2, "a\n" * 400_000), (3, "A " * 400_000), (4, "x" * 1_000_000), (5, " ".join(f"w{k}" for k in range(100_000))), (6, " ".join(f"w{k}" for k in range(5, 100_000)))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS).withColumn("sid", F.lit("clash")).withColumn("key", F.lit(0))).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5}
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rows = [(k, "same text here for all of these rows") for k in range(300)] + [(k, f"own words {k} " * 9) for k in range(300, 500)]
     got = near(spark, rows)
