@@ -15,9 +15,9 @@ into fragments; each task holds one fragment of all sets, packed.
    into PAIR_FRAGMENTS fragments of the global order; each fragment counts every pair's partial overlap by itself, and
    the partial counts are summed for each pair in a shuffle. Large groups are dealt to blocks of BLOCK_TOKENS, each with
    the best member's fragment, so a group of a third of all rows is many tasks.
-5. Members that aren't similar to their best one may link with others of the group: these few are compared with all
-   others, in blocks, and only while they haven't yet come into the component; a pair's overlap is again summed over
-   fragments, until none can be enough. Such a task emits at most one link for each member, which needn't be a similar
+5. Members that aren't similar to their best one may link with others that they meet in a bucket of the group: these few
+   are compared with all that meet others, in blocks, and only while they haven't yet come into the component; a pair's
+   overlap is again summed over fragments, until none can be enough. Such a task emits at most one link for each member, which needn't be a similar
    pair but joins the right components. So no pair is emitted but with a best member, a group of copies costs its size,
    and every link that could join two components is tested. link_counts has a group emit all true links.
 6. Components of the links, by smallest labels with pointer jumping, written after each round.
@@ -422,11 +422,12 @@ def buckets(sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def groups(sets: DataFrame, similarity: int) -> DataFrame:
-    """Members of groups: lead (the code of a group's best member), sid, n and code."""
+    """Members of groups: lead (the code of a group's best member), sid, n, code and wide, whether the member meets
+    others than the best one in any of the group's buckets."""
     rows = buckets(sets, similarity)
     best = rows.groupBy("gram", "size_class").agg(F.min("code").alias("lead"), F.count("*").alias("met"))
     met = rows.join(best.where("met > 1"), ["gram", "size_class"])
-    return met.select("lead", "sid", "n", "code").distinct()
+    return met.groupBy("lead", "sid", "n", "code").agg((F.max("met") > 2).alias("wide"))
 
 
 def _deal(df: DataFrame, *keys: str) -> DataFrame:
@@ -539,22 +540,23 @@ def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 def rest_links(rest: DataFrame, members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links a, b that join members in rest to others of their group. rest and members: lead, sid, n; joined members of
     a group are in one component already."""
-    size = lambda rows, name: rows.groupBy("lead").agg(_blocks(F.sum("n"), GROUP_TOKENS).alias(name))
+    blocks = members.groupBy("lead").agg(_blocks(F.sum("n"), GROUP_TOKENS).alias("blocks"))
     late = rest.select("lead", "sid").withColumn("late", F.lit(True))
-    counts = size(rest, "own").join(size(members, "others"), "lead")
-    own = rest.join(counts, "lead").select(
-        "lead", "sid", _block_of(F.col("own")).alias("i"), F.explode(_every(F.col("others"))).alias("j"), F.lit(0).alias("role")
-    )
-    others = members.join(counts, "lead").join(late, ["lead", "sid"], "left").select(
-        "lead", "sid", F.explode(_every(F.col("own"))).alias("i"), _block_of(F.col("others")).alias("j"),
-        F.when(F.col("late"), 2).otherwise(1).alias("role"),
-    )
-    rows = own.unionByName(others).join(sets.select("sid", "n", "grams"), "sid")
+    own, every = _block_of(F.col("blocks")), _every(F.col("blocks"))
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    # Task i, j compares the late ones of block i (role 0) with all of block j (role 1, or 2 for late ones).
+    first = F.transform(every, lambda j: place(own, j, 0))
+    others = F.transform(F.filter(every, lambda i: i != own), lambda i: place(i, own, 2))
+    joined = F.transform(every, lambda i: place(i, own, 1))
+    rows = members.join(blocks, "lead").join(late, ["lead", "sid"], "left").select(
+        "lead", "sid", F.inline(F.when(F.col("late"), F.concat(first, others)).otherwise(joined))
+    ).join(sets.select("sid", "n", "grams"), "sid")
 
     def run(_: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         asked = [row for row in rows if row[1] == 0]
-        names = {row[2] for row in asked}
-        held = asked + [row for row in rows if row[1] > 0 and row[2] not in names]
+        if not asked:
+            return
+        held = asked + [row for row in rows if row[1] > 0]
         group = _Group([(row[3], row[4]) for row in held], similarity)
         first = next((k for k, row in enumerate(held) if row[1] == 1), -1)
         root = np.array([first if row[1] == 1 else k for k, row in enumerate(held)])
@@ -573,19 +575,22 @@ def links(sets: DataFrame, similarity: int) -> DataFrame:
     members = store(groups(sets, similarity), "ngram-groups")
     heads = members.groupBy("lead").agg(
         F.min(F.struct("code", "sid", "n")).alias("best"), F.sum("n").alias("tokens"), F.count("*").alias("k")
-    ).where("k > 1").select("lead", "k", "tokens", F.col("best.sid").alias("head"), F.col("best.n").alias("head_n"))
-    summed = pair_overlaps(members, heads, sets).groupBy("lead", "sid").agg(F.sum("partial").alias("common"))
+    ).where("k > 1").select("lead", "tokens", F.col("best.sid").alias("head"), F.col("best.n").alias("head_n"))
+    # Sets whose sizes differ too much can't be similar, whatever they share.
+    near = (100 * F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")) | (F.col("sid") == F.col("head"))
+    asked = members.join(heads.select("lead", "head", "head_n"), "lead").where(near).select("lead", "sid")
+    summed = pair_overlaps(asked, heads, sets).groupBy("lead", "sid").agg(F.sum("partial").alias("common"))
     common = F.coalesce("common", F.lit(0))
     alike = 100 * common >= similarity * (F.col("n") + F.col("head_n") - common)
     tested = store(
         members.join(heads, "lead").where("sid <> head").join(summed, ["lead", "sid"], "left")
-        .select("lead", "sid", "n", "head", "k", alike.alias("alike")),
+        .select("lead", "sid", "n", "head", "wide", alike.alias("alike")),
         "ngram-pairs",
     )
     found = tested.where("alike").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    rest = tested.where("not alike and k > 2").select("lead", "sid", "n")
+    rest = tested.where("wide and not alike").select("lead", "sid", "n")
     if not rest.isEmpty():
-        others = tested.join(rest.select("lead").distinct(), "lead", "left_semi").select("lead", "sid", "n")
+        others = tested.where("wide").join(rest.select("lead").distinct(), "lead", "left_semi").select("lead", "sid", "n")
         found = found.unionByName(rest_links(rest, others, sets, similarity))
     out = store(found.distinct(), "ngram-links")
     discard(members, tested)
