@@ -114,27 +114,33 @@ DECONTAMINATION = f"""with d as (select row_number() over () as rid, doc_id, {_I
 
 
 def licence_scan() -> str:
-    templates = ", ".join(f"({_quoted(name)}, {_quoted(line)})" for name, line in license_scan.TEMPLATES.items())
-    cue, terms = _quoted(license_scan.CUES), "regexp_extract_all(lower({0}), '[a-z0-9]+')"
-    return rf"""with f as (select doc_id, concat_ws('/', coalesce(source, ''), cast(doc_id // 50 as varchar), coalesce(lang, ''), cast(doc_id as varchar)) as path,
-      coalesce(text, '') as text from documents),
-    g as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) as ls from f where regexp_matches(text, {cue})),
-    c as (select doc_id, list_filter(ls, lambda x: regexp_matches(x, {cue})) as cited, len(ls) as whole from g),
-    l as (select doc_id, 100 * len(cited) >= {license_scan.FILE_SHARE} * whole as only_, unnest(list_distinct(cited)) as line from c),
-    t as (select * from (values {templates}) v(license, line)),
-    n as (select line, count(*) as times from l group by line),
+    listed = ", ".join(f"({_quoted(name)}, {number}, {_quoted(text)})" for name, number, text in license_scan.templates())
+    cue, names = _quoted(license_scan.CUES), _quoted(license_scan.NAMES)
+    terms = "regexp_extract_all(" + _LOWER + ", '[a-z0-9]+')"
+    return rf"""with f as (select row_number() over () as rid, doc_id, concat_ws('/', coalesce(source, ''), cast(doc_id // 50 as varchar), coalesce(lang, ''), cast(doc_id as varchar)) as path,
+      text from documents),
+    g as (select rid, text, regexp_extract(text, {_quoted(license_scan.SPDX)}, 1) as tag from f where regexp_matches(text, {cue})),
+    c as (select distinct rid, line, whole_ from (
+      select rid, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {cue}))) as line, false as whole_ from g union all
+      select rid, unnest(list_filter(string_split_regex(text, {_quoted(license_scan.PARAGRAPHS)}), lambda x: regexp_matches(x, {cue}) and contains(x, chr(10)))), false from g union all
+      select rid, text, true from g)),
+    t as (select * from (values {listed}) v(license, number, line)),
+    n as (select line, count(*) as times from c group by line),
     tf as (select line, times, term, count(*) as tf from (select line, times, unnest({terms.format('line')}) as term from n) group by all),
-    own as (select license, term, count(*) as tf from (select license, unnest({terms.format('line')}) as term from t) group by all),
+    own as (select license, number, term, count(*) as tf from (select license, number, unnest({terms.format('line')}) as term from t) group by all),
     df as (select term, sum(times) as df from (select term, times from tf union all select term, 1 from own) group by term),
-    total as (select coalesce(sum(times), 0) + {len(license_scan.TEMPLATES)} as total from n),
+    total as (select coalesce(sum(times), 0) + {len(license_scan.templates())} as total from n),
     idf as (select term, ln((1 + total)::double / (1 + df)) + 1 as idf from df, total),
-    a as (select line, term, tf * idf as w from tf join idf using (term)), z as (select license, term, tf * idf as v from own join idf using (term)),
-    na as (select line, sqrt(sum(w * w)) as na from a group by line), nz as (select license, sqrt(sum(v * v)) as nz from z group by license),
-    cs as (select line, license, round(sum(w * v) / any_value(na * nz), 6) as sim from a join z using (term) join na using (line) join nz using (license) group by line, license),
+    a as (select line, term, tf * idf as w from tf join idf using (term)), z as (select license, number, term, tf * idf as v from own join idf using (term)),
+    na as (select line, sqrt(sum(w * w)) as na from a group by line), nz as (select license, number, sqrt(sum(v * v)) as nz from z group by license, number),
+    cs as (select line, license, round(dot / (na * nz), 6) as sim from (select line, license, number, sum(w * v) as dot from a join z using (term) group by line, license, number) join na using (line) join nz using (license, number)),
     best as (select line, license, sim from (select *, row_number() over (partition by line order by sim desc, license) as r from cs where sim >= {license_scan.THRESHOLD}) where r = 1),
-    o as (select doc_id, license as own_license, sim as similarity, only_ from
-      (select doc_id, license, sim, bool_and(only_) over (partition by doc_id) as only_, row_number() over (partition by doc_id order by sim desc, license) as r from l join best using (line)) where r = 1),
-    nm as (select f.doc_id, path, own_license, similarity, coalesce(only_, false) as only_, regexp_replace(path, '/[^/]*$', '') as place from f left join o using (doc_id)),
+    fo as (select rid, license, sim, only_ from (select rid, license, sim, bool_or(whole_) over (partition by rid) as only_,
+      row_number() over (partition by rid order by sim desc, license) as r from c join best using (line)) where r = 1),
+    o as (select rid, case when tag <> '' then tag else license end as own_license, case when tag <> '' then 1.0::double else sim end as similarity, only_
+      from g left join fo using (rid) where tag <> '' or license is not null),
+    nm as (select f.doc_id, path, own_license, similarity, own_license is not null and (coalesce(only_, false) or regexp_matches(regexp_replace(path, '^.*/', ''), {names})) as only_,
+      regexp_replace(path, '/[^/]*$', '') as place from f left join o using (rid)),
     rd as (select place as dir, own_license as rule from (select *, row_number() over (partition by place order by similarity desc, own_license) as r from nm where only_) where r = 1),
     pl as (select distinct place, string_split(place, '/') as parts from nm),
     ru as (select place, dir, rule from (select place, dir, rule, row_number() over (partition by place order by k desc) as r

@@ -550,34 +550,48 @@ def test_held_out_labels_are_never_used(spark):
 
 def licences(files):
     """The scan in loops."""
-    lines = {}
-    for key, _, text in files:
-        cited = [x for x in (text or "").split("\n") if re.search(license_scan.CUES, x)]
-        whole = [x for x in (text or "").split("\n") if re.search(r"\S", x)]
-        if cited and key is not None:
-            lines[key] = (set(cited), 100 * len(cited) >= license_scan.FILE_SHARE * len(whole))
-    terms = lambda x: collections.Counter(re.findall("[a-z0-9]+", x.lower()))
-    corpus = [x for own, _ in lines.values() for x in own]
-    df = collections.Counter(t for x in [*corpus, *license_scan.TEMPLATES.values()] for t in set(terms(x)))
-    total = len(corpus) + len(license_scan.TEMPLATES)
+    cited, tags = {}, {}
+    for row, (_, _, text) in enumerate(files):
+        if text and re.search(license_scan.CUES, text):
+            lines = {x for x in text.split("\n") if re.search(license_scan.CUES, x)}
+            blocks = {x for x in re.split(license_scan.PARAGRAPHS, text) if "\n" in x and re.search(license_scan.CUES, x)}
+            cited[row] = sorted({(x, False) for x in lines | blocks} | {(text, True)})
+            tags[row] = m[1] if (m := re.search(license_scan.SPDX, text)) else None
+    terms = lambda x: collections.Counter(re.findall("[a-z0-9]+", x.translate(CAPITALS)))
+    unique = {}
+    for parts in cited.values():
+        for passage, _ in parts:
+            unique[passage] = unique.get(passage, 0) + 1
+    df = collections.Counter()
+    for passage, times in unique.items():
+        for t in set(terms(passage)):
+            df[t] += times
+    for _, _, text in license_scan.templates():
+        df.update(set(terms(text)))
+    total = sum(unique.values()) + len(license_scan.templates())
     vector = lambda x: {t: n * (np.log((1 + total) / (1 + df[t])) + 1) for t, n in terms(x).items()}
 
     def cosine(a, b):
-        return sum(v * b.get(t, 0) for t, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        norm = np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return sum(v * b.get(t, 0) for t, v in a.items()) / norm if norm else 0
 
-    fixed = {name: vector(x) for name, x in license_scan.TEMPLATES.items()}
+    fixed = [(name, vector(x)) for name, _, x in license_scan.templates()]
+    best = {p: min((-round(cosine(vector(p), v), 6), name) for name, v in fixed) for p in unique}
     own, ruled = {}, {}
-    for key, (cited, only) in lines.items():
-        best = min((-round(cosine(vector(x), v), 6), name) for x in cited for name, v in fixed.items())
-        if -best[0] >= license_scan.THRESHOLD:
-            own[key] = (best, only)
-    for key, path, _ in files:
-        if key in own and own[key][1] and path is not None:
+    for row, parts in cited.items():
+        found = [(*best[p], whole) for p, whole in parts if -best[p][0] >= license_scan.THRESHOLD]
+        only = any(whole for *_, whole in found)
+        if tags[row]:
+            own[row] = ((-1.0, tags[row]), only)
+        elif found:
+            own[row] = (min(f[:2] for f in found), only)
+    for row, (_, path, _) in enumerate(files):
+        if row in own and path is not None and (own[row][1] or re.search(license_scan.NAMES, path.rsplit("/")[-1])):
             place = path.rsplit("/", 1)[0] if "/" in path else ""
-            ruled[place] = min(ruled.get(place, own[key][0]), own[key][0])
+            ruled[place] = min(ruled.get(place, own[row][0]), own[row][0])
     out = []
-    for key, path, _ in files:
-        mine = own[key][0][1] if key in own else None
+    for row, (key, path, _) in enumerate(files):
+        mine = own[row][0][1] if row in own else None
         parts = path.split("/")[:-1] if path is not None else None
         above = next(("/".join(parts[:k]) for k in range(len(parts), -1, -1) if "/".join(parts[:k]) in ruled), None) if parts is not None else None
         takes = mine is None and above is not None
@@ -585,25 +599,57 @@ def licences(files):
     return sorted(out, key=repr)
 
 
+def notice(name, number=0):
+    return license_scan.NOTICES[name][number]
+
+
+def full(name):
+    return [text for other, _, text in license_scan.templates() if other == name][-1]
+
+
+FILES = "key bigint, path string, text string"
+
+
 def test_licences_equal_loops(spark):
-    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+    mit, gpl = notice("MIT"), notice("GPL-3.0")
+    header = "\n".join(f"# {license_scan.HEADERS['GPL-2.0'][k : k + 70]}" for k in range(0, len(license_scan.HEADERS["GPL-2.0"]), 70))
     files = [
         (1, "a/LICENSE", mit), (2, "a/b/c/x.py", "code\nmore"), (3, "a/b/y.py", "code\nmore\nThis work is licensed under the GNU General Public License version 3\nx"),
         (4, "z/x.py", "code"), (5, None, "code"), (6, "a/b/NOTICE", None), (None, "a/q.py", "code"), (7, "x.py", "Copyright 2020 nobody at all\nline\nline"),
         (8, "a/b/COPYING", gpl), (9, "a/b/COPYING2", mit), (2, "a/b/c/x.py", "code\nmore"), (10, "m/LICENSE", "Licensed under\nsomething"), (11, "n", ""),
+        (12, "h/x.c", header + "\n\nint main;\nreturn 0;"), (13, "t/x.c", "// SPDX-License-Identifier: LGPL-2.1-or-later\nx"), (14, "t/LICENSE", "SPDX-License-Identifier: MIT OR Apache-2.0"),
+        (15, "t/u/v.c", "v"), (1, "r/x", mit), (1, "r/x", "code"), (16, "w/COPYING", full("MIT").replace("<year>", "2019").replace("<copyright holders>", "Some One")), (17, "w/q", "q"), (None, "s/LICENSE", gpl), (18, "s/b", "b"),
     ]
-    df = spark.createDataFrame(files, "key bigint, path string, text string").withColumn("license", F.lit("clash")).withColumn("only", F.lit(1))
-    got = sorted(((str(r.key), r.own_license, r.license, r.inherited_from) for r in license_scan.scan(df).collect()), key=repr)
+    df = spark.createDataFrame(files, FILES).withColumn("license", F.lit("clash")).withColumn("mark", F.lit(1))
+    got = sorted(((str(r.key), r.own_license, r.license, r.inherited_from) for r in license_scan.scan(df.repartition(3)).collect()), key=repr)
     assert got == licences(files)
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
-def test_licences_of_deep_paths(spark):
-    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+def test_known_licences_are_found(spark):
+    wanted = {
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "x = 1\n# SPDX-License-Identifier: LGPL-2.1-or-later\n": "LGPL-2.1-or-later",
+        "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n": "LGPL-2.1",
+        "BSD 2-Clause License": "BSD-2-Clause", "ISC License": "ISC", "some code\n\n# Released under the MIT License.\n": "MIT",
+    }
+    for name in license_scan.NOTICES:
+        wanted[notice(name)] = name
+        if any(other == name for other, *_ in license_scan.templates()[2 * len(license_scan.NOTICES) :]):
+            text = full(name).replace("<year>", "2021").replace("<copyright holders>", "A. Nyone").replace("<owner>", "A. Nyone")
+            wanted["\n".join(f" * {line}" for line in text.split("\n")) + " "] = name
+    for name, header in license_scan.HEADERS.items():
+        wanted["/* " + header.replace(", ", ",\n * ") + " */\n\nint x;\n" * 40] = name
+    rows = [(k, f"d{k}/f.c", text) for k, text in enumerate(wanted)]
+    got = {r.key: r.own_license for r in license_scan.scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert [got[k] for k, _, _ in rows] == list(wanted.values())
+
+
+def test_licences_of_deep_paths_and_long_texts(spark):
+    mit, gpl = notice("MIT"), notice("GPL-3.0")
     deep = "/".join(f"d{k}" for k in range(40))
-    df = spark.createDataFrame([("a", "LICENSE", gpl), ("b", f"{deep}/LICENSE", mit), ("c", f"{deep}/x/code.py", "x = 1")], "key string, path string, text string")
-    got = {r.key: (r.license, r.inherited_from) for r in license_scan.scan(df).collect()}
-    assert got["c"] == ("MIT", deep)
+    rows = [(1, "LICENSE", gpl), (2, f"{deep}/LICENSE", mit), (3, f"{deep}/x/code.py", "x = 1"), (4, "q/a.txt", "a" + " " * 2_000_000 + "license"), (5, "q/b.txt", "word " * 300_000 + "\n" + mit)]
+    got = {r.key: (r.license, r.inherited_from) for r in license_scan.scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert got[3] == ("MIT", deep) and got[4] == ("GPL-3.0", "") and got[5] == ("MIT", None)
 
 
 def test_licence_query(spark):
