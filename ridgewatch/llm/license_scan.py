@@ -118,26 +118,27 @@ def passages(files: DataFrame) -> DataFrame:
     own = F.array_distinct(F.concat(lines, blocks, F.array(F.struct(text.alias("passage"), F.lit(True).alias("whole")))))
     rows = files.where(text.rlike(CUES))
     return rows.select("key", "path", "mark", F.regexp_extract(text, SPDX, 1).alias("tag"), F.inline(own)).withColumn(
-        "id", F.sha2(F.col("passage").cast("binary"), 256)
+        "id", F.unhex(F.md5(F.col("passage").cast("binary")))
     )
 
 
 def similarities(cited: DataFrame) -> DataFrame:
     """Per distinct passage: its best licence and the cosine (id, license, similarity); those without one are absent."""
     listed = cited.sparkSession.createDataFrame(templates(), "license string, number int, passage string")
-    distinct = store(cited.groupBy("id").agg(F.count("*").alias("times"), F.first("passage").alias("passage")), "licence-passages")
+    distinct = cited.groupBy("id").agg(F.count("*").alias("times"), F.first("passage").alias("passage"))
     counted = distinct.select("id", "times", F.explode(terms(F.col("passage"))).alias("term"))
-    tf = counted.groupBy("id", "times", "term").agg(F.count("*").alias("tf"))
+    tf = store(counted.groupBy("id", "times", "term").agg(F.count("*").alias("tf")), "licence-terms")
     own = listed.select("license", "number", F.explode(terms(F.col("passage"))).alias("term")).groupBy("license", "number", "term").agg(
         F.count("*").alias("tf")
     )
-    total = distinct.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0] + len(templates())
+    total = cited.count() + len(templates())
     df = (
         tf.select("term", "times").unionByName(own.select("term", F.lit(1).cast("bigint").alias("times")))
         .groupBy("term").agg(F.sum("times").alias("df"))
     )
     idf = df.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = store(tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w")), "licence-weights")
+    # Dealt by passage once: norms and products are then summed where they are.
+    weighted = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w")).repartition("id")
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     fixed = own.join(idf, "term").select("license", "number", "term", (F.col("tf") * F.col("idf")).alias("v"))
     fixed_norms = fixed.groupBy("license", "number").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("fixed_norm"))
