@@ -61,12 +61,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "n_near", "items", "near_items")
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    return decontaminate.report(index, table(spark, sf_dir, "benchmark")).drop("text_key", "n_near", "items", "near_items")
 
 
 def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of the items that each document has exactly and nearly; op7_decontamination has its SQL twin's columns."""
-    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.report(index, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "contaminated", "items", "near_items")
 
 

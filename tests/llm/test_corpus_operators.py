@@ -251,13 +251,14 @@ def contamination(docs, items):
 
 
 def report(spark, docs, items):
-    rows = decontaminate.report(spark.createDataFrame(docs, DOCS).withColumn("bad_id", F.lit(1)), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    index = decontaminate.build_index(spark.createDataFrame(docs, DOCS).withColumn("ref", F.lit("clash")).withColumn("postings", F.lit(1)))
+    rows = decontaminate.report(index, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     return sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_contamination_equals_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_TERMS", 10 if seed == 2 else 20_000)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3 if seed == 2 else 200_000)
     rng = random.Random(seed)
     vocabulary = ["the", "of", "É", "ß", "zürich", *"abcdefgh", *(f"w{k}" for k in range(40))]
     items = [(k, rng.choice([" ", "-", "\n"]).join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 13, 14, 30])))) for k in range(12)]
@@ -291,8 +292,18 @@ def test_proximity_matches(spark):
     item = " ".join(f"p{k}" for k in range(40))
     changed = " ".join(f"p{k} zz" if k % 9 == 8 else f"p{k}" for k in range(40))
     docs = spark.createDataFrame([(1, "a b " + changed), (2, "p1 other words")], DOCS)
-    rows = {r.doc_id: r for r in decontaminate.report(docs, spark.createDataFrame([(9, item)], "item_id bigint, text string")).collect()}
+    index = decontaminate.build_index(docs)
+    rows = {r.doc_id: r for r in decontaminate.report(index, spark.createDataFrame([(9, item)], "item_id bigint, text string")).collect()}
     assert rows[1].n_hit == 0 and rows[1].n_near == 1 and rows[2].n_near == 0
+    again = decontaminate.report(index, spark.createDataFrame([(8, "other words"), (7, "Other")], "item_id bigint, text string"))
+    assert {r.doc_id: (r.n_hit, r.items) for r in again.collect()} == {1: (0, []), 2: (2, ["7", "8"])}
+
+
+def test_contamination_of_very_long_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = [(1, "a" + " " * 2_000_000 + passage), (2, "b\n" * 300_000), (3, "x" * 1_000_000), (4, "the " * 200_000 + passage + " the" * 100_000), (5, "-" * 1_000_000)]
+    items = [(1, passage), (2, "the " * 14), (3, "b")]
+    assert report(spark, docs, items) == contamination(docs, items)
 
 
 def test_proximity_of_short_and_unseen_items(spark, tmp_path):
