@@ -113,7 +113,7 @@ def rarest(tokens: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def search(index: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The exact matches (ref, number, low, high exclusive; of the longest runs) and the proximity matches (ref, number)."""
     tokens = items.select("number", "size", F.posexplode("item").alias("offset", "term"))
-    pairs, offsets = rarest(tokens, term_counts(index, tokens))
+    pairs, offsets = rarest(tokens, store(term_counts(index, tokens), "decontamination-terms"))
     pairs, offsets = store(pairs, "decontamination-windows"), store(offsets, "decontamination-offsets")
     hits = store(
         index.select("ref", F.inline("postings")).join(_small(offsets), "term")
