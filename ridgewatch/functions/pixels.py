@@ -70,13 +70,13 @@ def hue_saturation_histogram(image: np.ndarray, hues: int = 30, saturations: int
 
 
 def likeness(image: np.ndarray, reference: np.ndarray | None) -> tuple[float | None, float | None]:
-    """Histogram correlation and mean grey difference to a reference of equal size; nothing without one."""
+    """Histogram correlation and mean difference of all three colours to a reference of equal size; nothing without one."""
     if reference is None or image.shape != reference.shape:
         return None, None
     a, b = (hue_saturation_histogram(x).astype(np.float64) for x in (image, reference))
     a, b = a - a.mean(), b - b.mean()
     norm = float(np.sqrt((a * a).sum() * (b * b).sum()))
-    return (float((a * b).sum()) / norm if norm else 1.0), float(np.abs(to_grey(image) - to_grey(reference)).mean())
+    return (float((a * b).sum()) / norm if norm else 1.0), float(np.abs(image.astype(np.float64) - reference).mean())
 
 
 def change(image: np.ndarray, before: np.ndarray | None) -> tuple[float | None, float | None]:

@@ -36,8 +36,8 @@ def pool(confidence: Column, high: float = 0.40, low: float = 0.15) -> Column:
     return F.when(confidence >= high, "high").when(confidence >= low, "low")
 
 
-def non_maximum_suppression(detections: DataFrame, threshold: float = 0.45, keys: tuple[str, ...] = ("frame_id", "class_name")) -> DataFrame:
-    """det_no of what stays in each frame and class: by falling confidence, unless it overlaps a kept one by more."""
+def non_maximum_suppression(detections: DataFrame, threshold: float = 0.45, keys: tuple[str, ...] = ("run_id", "frame_id", "class_name")) -> DataFrame:
+    """det_no of what stays in each run's frame and class: by falling confidence, unless it overlaps a kept one by more."""
     types = {f.name: f.dataType.simpleString() for f in detections.schema}
 
     def step(kept: list, row: dict) -> Iterator[tuple]:
@@ -56,11 +56,15 @@ def non_maximum_suppression(detections: DataFrame, threshold: float = 0.45, keys
 
 
 def detect(frames: DataFrame, detector: Detector, width: int, height: int, confidence: float = 0.25, overlap_iou: float = 0.45) -> DataFrame:
-    """A whole detector call: tiles, the detector on each, threshold, merging, classes; human and animal only."""
+    """A whole detector call: tiles, the detector on each, threshold, merging, classes; human and animal only.
+
+    frames: run_id, frame_id and what the detector needs; det_no must tell a frame's raw detections apart.
+    """
     raw = detector(tile_table(frames, width, height)).where(F.col("confidence") >= confidence)
     placed = to_frame(raw, width, height)
-    kept = non_maximum_suppression(placed.withColumn("class_key", F.col("class_id")), overlap_iou, ("frame_id", "class_key"))
-    merged = placed.join(kept.select("frame_id", "det_no"), ["frame_id", "det_no"], "left_semi")
+    kept = non_maximum_suppression(placed.withColumn("class_key", F.col("class_id")), overlap_iou, ("run_id", "frame_id", "class_key"))
+    own = ["run_id", "frame_id", "det_no"]
+    merged = placed.join(kept.select(*own), own, "left_semi")
     named = merged.withColumn("mapped", mapped_class(F.col("class_id"), F.col("class_name")))
     named = named.withColumns({"class_name": F.col("mapped.class_name"), "class_id": F.col("mapped.class_id")})
     return named.where(F.col("class_name").isin("human", "animal")).drop("mapped")
@@ -75,3 +79,15 @@ def unpacked(tuples: DataFrame) -> DataFrame:
             "class_name": F.when(name.isin("0", "person", "human"), "human").otherwise("animal"),
         }
     ).drop("conf", "cls")
+
+
+def with_metadata(frames: DataFrame, given: dict[str, object], absent: dict[str, object]) -> DataFrame:
+    """Frames with their metadata by precedence: the given argument, else the frame's own column, else the default."""
+    own = lambda name: [F.col(name)] if name in frames.columns else []
+    value = lambda name: F.coalesce(F.lit(given.get(name)), *own(name), F.lit(absent[name]))
+    return frames.withColumns({name: value(name) for name in absent})
+
+
+def thermal_valid(present: Column, nonzero: Column) -> Column:
+    """Whether a frame's thermal image counts: it is there and some pixel isn't zero. Otherwise the sensor dropped out."""
+    return F.coalesce(present & (nonzero > 0), F.lit(False))

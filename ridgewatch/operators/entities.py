@@ -81,7 +81,7 @@ class Clustering:
         if number is None:
             number = len(self.entities)
             new = {k: row[k] for k in SIGHTING}
-            new |= {"first": row["timestamp_ms"], "last": row["timestamp_ms"], "count": 1, "tracks": [row["track_id"]]}
+            new |= {"first": row["timestamp_ms"], "last": row["timestamp_ms"], "count": 1, "tracks": {row["track_id"]: None}}
             new |= {"path": [(row["lat"], row["lon"])], "best": row["track_id"], "opened_by": row["track_id"]}
             self.entities.append(new)
         else:
@@ -92,8 +92,7 @@ class Clustering:
         e["count"] += 1
         e["hits"] += row["hits"]
         e["last"] = max(e["last"], row["timestamp_ms"])
-        if row["track_id"] not in e["tracks"]:
-            e["tracks"].append(row["track_id"])
+        e["tracks"][row["track_id"]] = None
         e["path"].append((row["lat"], row["lon"]))
         total = e["confidence"] + row["confidence"]
         old = e["confidence"] / total if total else 0.5
@@ -110,7 +109,7 @@ class Clustering:
             yield (
                 e["run_id"], e["class_name"], number, e["lat"], e["lon"], e["confidence"], e["is_stationary"],
                 "STATIONARY" if e["is_stationary"] else "MOBILE", e["thermal_delta"], e["error_radius_m"], e["first"],
-                e["last"], e["hits"], e["count"], e["tracks"], e["best"], e["opened_by"],
+                e["last"], e["hits"], e["count"], list(e["tracks"]), e["best"], e["opened_by"],
                 [{"lat": a, "lon": b} for a, b in e["path"]],
             )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgewatch.functions import pixels
+from ridgewatch.functions.exact import exact_round
 from ridgewatch.operators.fold import fold_sorted
 
 ANCHOR, MOTION, NOVEL, KEEPALIVE = (
@@ -96,6 +97,17 @@ def select_from_images(frames: DataFrame, rules: SelectionRules = SelectionRules
     )
 
 
+def selection_report(summary: DataFrame, processing_s: Column, fps: Column) -> DataFrame:
+    """selection_summary with the processing speed in frames a second and how many times real time that is."""
+    speed = F.when(processing_s > 0, F.col("candidates") / processing_s).otherwise(0.0)
+    return summary.withColumns(
+        {
+            "processing_speed_fps": exact_round(speed, 1),
+            "realtime_speedup": exact_round(speed / F.greatest(fps, F.lit(1.0)), 2),
+        }
+    )
+
+
 def selection_summary(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     """Per run: candidates, selected frames, reduction in per cent and selected frames per second of its span."""
     all_rows = candidates.groupBy("run_id").agg(

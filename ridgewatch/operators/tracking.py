@@ -180,22 +180,44 @@ INPUT = (
 )
 
 
-def rows_of(tracks: list[Track], run_id: int, frame_id: int, timestamp_ms: float) -> Iterator[tuple]:
+def rows_of(tracks: list[Track], run_id: int, frame_id: int, timestamp_ms: float, history: bool = True) -> Iterator[tuple]:
     for t in tracks:
         yield (
             run_id, frame_id, timestamp_ms, t.track_id, t.class_name, *t.box, round(t.confidence, 3), t.confirmed,
             t.stationary, t.thermal, t.status, t.still_frames, t.hits, t.lost_frames, t.age,
-            [{"cx": x, "cy": y} for x, y in t.centres],
+            centres_of(t) if history else None,
         )
 
 
-def track(detections: DataFrame, settings: TrackerSettings = TrackerSettings()) -> DataFrame:
-    """All live tracks after each frame. detections: INPUT's columns; det_no null for a frame without any."""
+def centres_of(track: Track) -> list[dict]:
+    return [{"cx": x, "cy": y} for x, y in track.centres]
+
+
+def track(detections: DataFrame, settings: TrackerSettings = TrackerSettings(), final_only: bool = False) -> DataFrame:
+    """All live tracks after each frame. detections: INPUT's columns; det_no null for a frame without any.
+
+    final_only: each track once, as it was in its last frame, given out when it or its run has ended.
+    """
 
     def flush(state: dict) -> Iterator[tuple]:
-        if state["frame"] is not None:
-            run_id, frame_id, timestamp = state["frame"]
-            yield from rows_of(state["tracker"].update(state["waiting"]), run_id, frame_id, timestamp)
+        if state["frame"] is None:
+            return
+        tracker, last = state["tracker"], state["last"]
+        if not final_only:
+            yield from rows_of(tracker.update(state["waiting"]), *state["frame"])
+            return
+        before = list(tracker.tracks)
+        live = tracker.update(state["waiting"])
+        rows = {row[3]: row for row in rows_of(live, *state["frame"], history=False)}
+        for ended in before:
+            if ended.track_id not in rows:  # its centres are those of its last frame
+                yield *last[ended.track_id][:-1], centres_of(ended)
+        state["last"] = rows
+
+    def finish(state: dict) -> Iterator[tuple]:
+        yield from flush(state)
+        if final_only:
+            yield from ((*state["last"][t.track_id][:-1], centres_of(t)) for t in state["tracker"].tracks)
 
     def step(state: dict, row: dict) -> Iterator[tuple]:
         frame = (row["run_id"], row["frame_id"], row["timestamp_ms"])
@@ -206,10 +228,10 @@ def track(detections: DataFrame, settings: TrackerSettings = TrackerSettings())
             state["waiting"].append(row)
 
     def start(row: dict) -> dict:
-        return {"tracker": Tracker(settings), "frame": None, "waiting": []}
+        return {"tracker": Tracker(settings), "frame": None, "waiting": [], "last": {}}
 
     return fold_sorted(
-        detections.select(*INPUT), ["run_id"], ["timestamp_ms", "frame_id", "det_no"], start, step, OUTPUT, flush
+        detections.select(*INPUT), ["run_id"], ["timestamp_ms", "frame_id", "det_no"], start, step, OUTPUT, finish
     )
 
 

@@ -65,6 +65,11 @@ def counts(scored: DataFrame) -> DataFrame:
     )
 
 
+def throughput(frames: Column, seconds: Column) -> Column:
+    """Frames a second of a mission's run time."""
+    return frames / F.greatest(F.lit(0.001), seconds)
+
+
 def nearest(features: DataFrame, lat: float, lon: float) -> DataFrame:
     """The feature nearest to a clicked point, by plain distance in degrees."""
     return features.orderBy(F.hypot(F.col("latitude") - lat, F.col("longitude") - lon), "track_id").limit(1)

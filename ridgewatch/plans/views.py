@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "detections_v": (
         ("lineitem",),
-        """select l_orderkey as frame_id, l_linenumber as det_no, l_partkey as part_no, l_suppkey as supp_no,
+        """select l_orderkey % 64 as run_id, cast(floor(l_orderkey / 64e0) as bigint) as frame_id, l_linenumber as det_no, l_partkey as part_no, l_suppkey as supp_no,
              1e0 * ((l_partkey * 37) % 3700) as x1, 1e0 * ((l_suppkey * 53) % 2040) as y1,
              1e0 * ((l_partkey * 37) % 3700) + 20e0 + l_quantity as x2,
              1e0 * ((l_suppkey * 53) % 2040) + 40e0 + l_quantity as y2,
@@ -43,7 +43,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "ground_truth_v": (
         ("lineitem",),
-        """select l_orderkey as frame_id, l_linenumber as gt_no, l_partkey as gt_part, l_suppkey as gt_supp,
+        """select l_orderkey % 64 as run_id, cast(floor(l_orderkey / 64e0) as bigint) as frame_id, l_linenumber as gt_no, l_partkey as gt_part, l_suppkey as gt_supp,
              1e0 * ((l_partkey * 37) % 3700 + l_linenumber % 5) as gx1,
              1e0 * ((l_suppkey * 53) % 2040 + l_linenumber % 5) as gy1,
              1e0 * ((l_partkey * 37) % 3700 + l_linenumber % 5) + 20e0 + l_quantity as gx2,

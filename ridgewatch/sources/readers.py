@@ -109,6 +109,17 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("class_id is not null").withColumn("split", split)
 
 
+def label_splits(spark: SparkSession, path: str, images: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp")) -> DataFrame:
+    """Per split (valid is val): how many images and label files lie below path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # no content is read
+    folder = F.regexp_extract("path", r"/(train|val|valid|test)/", 1)
+    split = F.when(folder == "valid", "val").when(folder == "", None).otherwise(folder)
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    return files.select(split.alias("split"), ending.alias("ending")).where("split is not null").groupBy("split").agg(
+        F.count_if(F.col("ending").isin(*images)).alias("images"), F.count_if(F.col("ending") == "txt").alias("labels")
+    )
+
+
 def label_histogram(labels: DataFrame, files: int = 1000) -> DataFrame:
     """Boxes by class over the first files by name (a report's limit)."""
     first = labels.select("file").distinct().orderBy("file").limit(files)

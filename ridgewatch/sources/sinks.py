@@ -182,6 +182,17 @@ def dispatch_links(records: DataFrame) -> DataFrame:
     )
 
 
+def utc_text(epoch_s: Column) -> Column:
+    """Seconds since the epoch as text in UTC, whatever the session's time zone."""
+    moment = F.to_utc_timestamp(F.timestamp_seconds(epoch_s), F.current_timezone())
+    return F.concat(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def data_url(data: Column, kind: str = "image/png") -> Column:
+    """Bytes as a data URL in base64, for pages; null without bytes."""
+    return F.when(F.length(data) > 0, F.concat(F.lit(f"data:{kind};base64,"), F.base64(data)))
+
+
 def write_images(images: DataFrame, folder: str, name: str, data: str) -> None:
     """One row an image below folder/name, as Parquet: any store, whole files only. base64(data) gives text for pages."""
     images.select("run_id", "track_id", data).write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -7,6 +7,7 @@ still take their place and a replayed stream equals the batch result. State is p
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ridgewatch.operators import entities, selection, tracking
+from ridgewatch.operators import entities, selection, telemetry, tracking
 
 
 def ordered_fold(
@@ -126,39 +127,77 @@ def live_entities(stream: DataFrame, radius_m: float = 8.0, still_m: float = 3.0
     )
 
 
-def live_pose(stream: DataFrame, tolerance_ms: float = 100.0, delay: str = "0 seconds") -> DataFrame:
-    """The nearest earlier sample of each frame of one stream of both: run_id, ts, t_ms, frame_id (null for samples), lat, lon."""
+def pose_between(before: dict | None, after: dict | None, at: float, tolerance_ms: float) -> tuple[dict, float]:
+    """telemetry.interpolated for one frame: the pose and delta_ms. before is earlier, after at or later than at."""
+    none = dict.fromkeys(telemetry.POSE, 0.0)
+    if before is None or after is None:
+        held = after if before is None else before
+        return (none, math.inf) if held is None else ({k: held[k] or 0.0 for k in telemetry.POSE}, abs(at - held["t_ms"]))
+    gap, to_before, to_after = after["t_ms"] - before["t_ms"], abs(at - before["t_ms"]), abs(at - after["t_ms"])
+    if gap > 5 * tolerance_ms:
+        held = before if to_before <= to_after else after
+        return {k: held[k] or 0.0 for k in telemetry.POSE}, min(to_before, to_after)
+    share = max(0.0, min(1.0, (at - before["t_ms"]) / gap)) if gap > 0 else 0.0
+    out = {}
+    for k in telemetry.POSE:
+        step = after[k] - before[k]
+        if k == "yaw":
+            step = (step + 180.0) % 360.0 - 180.0
+        mixed = before[k] + share * step
+        out[k] = round(mixed % 360.0 if k == "yaw" else mixed, 7 if k in ("lat", "lon") else 2)
+    return out, round(min(to_before, to_after), 2)
+
+
+def live_pose(stream: DataFrame, tolerance_ms: float = 100.0, delay: str = "0 seconds", close_after_ms: int = 60_000) -> DataFrame:
+    """synchronise() over one stream of both: run_id, ts, side (0 frame, 1 sample), t_ms, frame_id (null for samples) and
+    telemetry.POSE. A frame is given out when the next sample has come, or the run has ended.
+
+    State: the last sample and the frames since.
+    """
+
+    def given(state: dict, after: dict | None) -> Iterator[tuple]:
+        for run_id, frame_id, at in state["frames"]:
+            pose, delta = pose_between(state["sample"], after, at, tolerance_ms)
+            yield run_id, frame_id, *pose.values(), delta, delta <= tolerance_ms
+        state["frames"] = []
 
     def step(state: dict, row: dict) -> Iterator[tuple]:
-        if row["frame_id"] is None:
-            state["sample"] = (row["t_ms"], row["lat"], row["lon"])
+        if row["side"] == 0:
+            state["frames"].append((row["run_id"], int(row["frame_id"]), row["t_ms"]))
             return
-        when, lat, lon = state["sample"] or (None, 0.0, 0.0)
-        delta = float("inf") if when is None else row["t_ms"] - when
-        yield row["run_id"], int(row["frame_id"]), lat, lon, delta, delta <= tolerance_ms
+        yield from given(state, row)
+        state["sample"] = {k: row[k] for k in ("t_ms", *telemetry.POSE)}
 
+    pose = ", ".join(f"{k} double" for k in telemetry.POSE)
     return ordered_fold(
-        stream, ["run_id"], "ts", ["side"], lambda row: {"sample": None}, step,
-        "run_id bigint, frame_id bigint, lat double, lon double, delta_ms double, is_synced boolean", delay,
+        stream, ["run_id"], "ts", ["side"], lambda row: {"sample": None, "frames": []}, step,
+        f"run_id bigint, frame_id bigint, {pose}, delta_ms double, is_synced boolean", delay,
+        lambda state: given(state, None), str(close_after_ms),
     )
 
 
-def live_fusion(stream: DataFrame, gap_ms: float = 100.0, delay: str = "0 seconds") -> DataFrame:
-    """Fused samples of a stream of position and attitude messages: run_id, ts, msg_id, t_ms, msg_type, raw fields."""
+def live_fusion(stream: DataFrame, gap_ms: float = 100.0, delay: str = "0 seconds", every_message: bool = False) -> DataFrame:
+    """fuse_messages() over a stream: run_id, ts, msg_id, t_ms, msg_type and the raw fields. State: the two last messages."""
+    kinds = ("GLOBAL_POSITION_INT", "ATTITUDE")
 
     def step(state: dict, row: dict) -> Iterator[tuple]:
-        state[row["msg_type"]] = row
-        p, a = state.get("GLOBAL_POSITION_INT"), state.get("ATTITUDE")
+        if row["msg_type"] in kinds:
+            state[row["msg_type"]] = row
+        elif not every_message:
+            return
+        p, a = (state.get(kind) for kind in kinds)
         if p and a and abs(p["t_ms"] - a["t_ms"]) <= gap_ms:
             number = lambda r, k: r[k] or 0.0
             yield (
                 row["run_id"], row["msg_id"], (p["t_ms"] + a["t_ms"]) / 2, number(p, "lat_e7") / 1e7,
-                number(p, "lon_e7") / 1e7, number(p, "alt_mm") / 1000.0, number(a, "yaw_rad"),
+                number(p, "lon_e7") / 1e7, number(p, "alt_mm") / 1000.0, math.degrees(number(a, "pitch_rad")),
+                math.degrees(number(a, "roll_rad")), math.degrees(number(a, "yaw_rad")) % 360.0,
             )
 
     return ordered_fold(
         stream, ["run_id"], "ts", ["msg_id"], lambda row: {}, step,
-        "run_id bigint, msg_id bigint, t_ms double, lat double, lon double, altitude_agl double, yaw_rad double", delay,
+        "run_id bigint, msg_id bigint, t_ms double, lat double, lon double, altitude_agl double, pitch double, "
+        "roll double, yaw double", delay,
     )
 
 

@@ -130,6 +130,14 @@ def test_area_resize_keeps_the_mean():
     assert pixels.area_resize(image, 640).shape == image.shape
 
 
+def test_likeness_sees_hue():
+    image = np.zeros((8, 8, 3), np.uint8)
+    image[..., 0] = 200
+    other = np.zeros((8, 8, 3), np.uint8)
+    other[..., 2] = 76  # about as bright
+    assert pixels.likeness(image, other)[1] == pytest.approx((200 + 76) / 3)
+
+
 def test_likeness_and_change():
     rng = np.random.default_rng(2)
     image = rng.integers(0, 255, (20, 30, 3)).astype(np.uint8)

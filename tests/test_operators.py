@@ -138,13 +138,13 @@ def test_suppression(spark):
     for k in range(120):
         x, y = rng.uniform(0, 60), rng.uniform(0, 60)
         rows.append((k % 4, k, x, y, x + rng.uniform(20, 40), y + rng.uniform(20, 40), rng.random(), "human"))
-    df = spark.createDataFrame(rows, "frame_id bigint, det_no bigint, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string")
+    df = spark.createDataFrame(rows, "frame_id bigint, det_no bigint, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string").withColumn("run_id", F.lit(1))
     got = {r.det_no for r in detections.non_maximum_suppression(df).collect()}
     assert got == set().union(*(nms_loop([r for r in rows if r[0] == f]) for f in range(4)))
 
 
 def test_detector_plug_point(spark):
-    frames = spark.createDataFrame([(1,)], "frame_id bigint")
+    frames = spark.createDataFrame([(1, 1)], "run_id bigint, frame_id bigint")
 
     def detector(tiles):
         return tiles.select("*", F.col("tile_no").cast("bigint").alias("det_no"), *[F.lit(v).alias(c) for c, v in (("x1", 10.0), ("y1", 10.0), ("x2", 50.0), ("y2", 90.0), ("confidence", 0.5))], F.when(F.col("tile_no") == 0, 0).otherwise(30).alias("class_id"), F.when(F.col("tile_no") == 0, "person").otherwise("boat").alias("class_name"))
@@ -191,7 +191,7 @@ def test_radius_join_of_all_runs(spark, tmp_path):
     df.select("o_orderkey", "o_custkey", F.to_timestamp("day").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     rows = [(r.run_id, r.track_id, r.class_name, r.lat, r.lon) for r in view(spark, str(tmp_path), "sightings_v").collect()]
     wanted = {(*a[:2], *b[:2]) for a in rows for b in rows if a[:2] < b[:2] and a[2] == b[2] and entities.metres(*a[3:], *b[3:]) <= 8.0}
-    got = catalog.radius_join_all(spark, str(tmp_path)).collect()
+    got = catalog.radius_join(spark, str(tmp_path)).collect()
     assert len(got) == len(wanted) and {tuple(r[:4]) for r in got} == wanted
     assert len({r.left_run for r in got}) > 2
 
@@ -218,18 +218,76 @@ def test_record_merging_takes_the_first_in_reach(spark):
 
 def test_greedy_matching(spark):
     pairs = [(1, 0, 0, 0.9), (1, 0, 1, 0.6), (1, 1, 0, 0.8), (1, 1, 1, 0.55), (1, 2, 1, 0.7), (2, 0, 0, 0.3), (2, 1, 0, 0.5)]
-    df = spark.createDataFrame(pairs, "frame_id bigint, pred_no bigint, gt_no bigint, iou double")
-    got = {(r.frame_id, r.pred_no, r.gt_no) for r in evaluation.greedy_matches(df).collect()}
-    assert got == {(1, 0, 0), (1, 1, 1), (2, 1, 0)}
+    df = spark.createDataFrame([(run, *p) for p in pairs for run in (7, 8)], "run_id bigint, frame_id bigint, pred_no bigint, gt_no bigint, iou double")
+    got = {(r.run_id, r.frame_id, r.pred_no, r.gt_no) for r in evaluation.greedy_matches(df).collect()}
+    assert got == {(run, *p) for p in ((1, 0, 0), (1, 1, 1), (2, 1, 0)) for run in (7, 8)}
 
 
-def test_metrics_without_rows(spark):
-    made = spark.createDataFrame([], "frame_id bigint, pred_no bigint")
-    truth = spark.createDataFrame([], "frame_id bigint, gt_no bigint, entity_id bigint")
-    match = spark.createDataFrame([], "frame_id bigint, pred_no bigint, gt_no bigint, iou double")
-    frames = spark.createDataFrame([], "frame_id bigint, timestamp_ms double, latency_ms double")
-    row = evaluation.metrics(made, truth, match, frames).first()
-    assert (row.true_positives, row.recall_at_50, row.mean_latency_ms, row.acceptance_verdict) == (0, 0.0, 0.0, "FAILED")
+def test_metrics_of_runs(spark):
+    made = spark.createDataFrame([(2, 1, 1), (2, 1, 2)], "run_id bigint, frame_id bigint, pred_no bigint")
+    truth = spark.createDataFrame([(2, 1, 1, 5), (3, 1, 1, 5)], "run_id bigint, frame_id bigint, gt_no bigint, entity_id bigint")
+    match = spark.createDataFrame([(2, 1, 1, 1, 0.9)], "run_id bigint, frame_id bigint, pred_no bigint, gt_no bigint, iou double")
+    frames = spark.createDataFrame([(1, 1, 0.0, 5.0), (2, 1, 0.0, 7.0)], "run_id bigint, frame_id bigint, timestamp_ms double, latency_ms double")
+    rows = {r.run_id: r for r in evaluation.metrics(made, truth, match, frames).collect()}
+    assert {k: (r.true_positives, r.false_positives, r.false_negatives, r.total_frames_evaluated) for k, r in rows.items()} == {1: (0, 0, 0, 1), 2: (1, 1, 0, 1), 3: (0, 0, 1, 0)}
+    assert (rows[1].recall_at_50, rows[3].mean_latency_ms, rows[3].acceptance_verdict, rows[2].acceptance_verdict) == (0.0, 0.0, "FAILED", "PASSED")
+    assert evaluation.metrics(*(df.limit(0) for df in (made, truth, match, frames))).count() == 0
+
+
+def test_later_truth_replaces_earlier(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "old"), (1, 1, 2, "new"), (2, 1, 1, "only")], "run_id bigint, frame_id bigint, line bigint, box string")
+    assert {(r.run_id, r.box) for r in evaluation.last_of_each(rows, ["run_id", "frame_id"], ["line"]).collect()} == {(1, "new"), (2, "only")}
+
+
+def test_runs_do_not_mix(spark):
+    boxes = [(run, 1, 1, 0.0, 0.0, 10.0, 10.0, 0.9, "human") for run in (1, 2)]
+    df = spark.createDataFrame(boxes, "run_id bigint, frame_id bigint, det_no bigint, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string")
+    assert detections.non_maximum_suppression(df).count() == 2
+    truth = spark.createDataFrame([(2, 1, 1, 0.0, 0.0, 10.0, 10.0)], "run_id bigint, frame_id bigint, gt_no bigint, gx1 double, gy1 double, gx2 double, gy2 double")
+    made = df.withColumnRenamed("det_no", "pred_no")
+    match = evaluation.greedy_matches(evaluation.overlaps(made, truth))
+    assert [(r.run_id, r.iou) for r in match.collect()] == [(2, 1.0)]
+    assert [r.run_id for r in evaluation.false_positives(made, match).collect()] == [1]
+    assert evaluation.false_negatives(truth, match).count() == 0
+
+
+def test_metadata_precedence_and_thermal_dropout(spark):
+    frames = spark.createDataFrame([(1, 5.0, True, 3), (2, None, True, 0), (3, None, False, None)], "frame_id bigint, lat double, image boolean, nonzero bigint")
+    default = {"lat": 0.0, "is_synced": False}
+    assert [(r.lat, r.is_synced) for r in detections.with_metadata(frames, {}, default).orderBy("frame_id").collect()] == [(5.0, False), (0.0, False), (0.0, False)]
+    assert [r.lat for r in detections.with_metadata(frames, {"lat": 9.0}, default).collect()] == [9.0] * 3
+    assert [r.v for r in frames.orderBy("frame_id").select(detections.thermal_valid(F.col("image"), F.col("nonzero")).alias("v")).collect()] == [True, False, False]
+
+
+def test_unpacked_detections(spark):
+    df = spark.createDataFrame([(1.0, None, None), (2.0, 0.9, "0"), (3.0, 0.1, "dog")], "x1 double, conf double, cls string")
+    assert [(r.confidence, r.class_name) for r in detections.unpacked(df).orderBy("x1").collect()] == [(0.5, "human"), (0.9, "human"), (0.1, "animal")]
+
+
+def test_report_texts(spark):
+    row = spark.range(1).select(sinks.utc_text(F.lit(1_700_000_000)).alias("t"), sinks.data_url(F.lit(b"abc")).alias("u"), sinks.data_url(F.lit(b"")).alias("n")).first()
+    assert (row.t, row.u, row.n) == ("2023-11-14 22:13:20 UTC", "data:image/png;base64,YWJj", None)
+    summary = spark.createDataFrame([(1, 600, 60)], "run_id bigint, candidates bigint, selected bigint")
+    done = selection.selection_report(summary, F.lit(4.0), F.lit(30.0)).first()
+    assert (done.processing_speed_fps, done.realtime_speedup) == (150.0, 5.0)
+    assert spark.range(1).select(triage.throughput(F.lit(10), F.lit(0.0))).first()[0] == 10_000.0
+
+
+def test_label_splits(spark, tmp_path):
+    for name in ("train/images/a.jpg", "train/images/b.PNG", "train/labels/a.txt", "valid/labels/c.txt", "valid/images/c.jpeg", "notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("0 1 1 1 1\n")
+    got = {(r.split, r.images, r.labels) for r in readers.label_splits(spark, str(tmp_path)).collect()}
+    assert got == {("train", 2, 1), ("val", 1, 1)}
+
+
+def test_final_tracks_are_the_last_rows(spark):
+    rng = __import__("random").Random(6)
+    rows = [(run, k, k * 40.0, d, x, x, x + 30, x + 40, rng.random(), "human", None) for run in (1, 2) for k in range(60) for d in range(rng.randint(0, 4)) for x in (rng.uniform(0, 400),)]
+    df = spark.createDataFrame(rows, FLIGHT)
+    settings = tracking.TrackerSettings(max_lost=4, legacy_lost=False)
+    last = tracking.latest(tracking.track(df, settings)).collect()
+    assert sorted(map(str, last)) == sorted(map(str, tracking.track(df, settings, final_only=True).collect())) and len(last) > 20
 
 
 def test_message_fusion_ignores_other_types(spark):
@@ -321,7 +379,7 @@ def test_audit_flight(spark):
     frames = spark.createDataFrame(frames, "run_id bigint, frame_id bigint, timestamp_ms double, latency_ms double")
     rows = tracking.track(tracking.with_empty_frames(frames, spark.createDataFrame(seen, FLIGHT)))
     made = rows.withColumn("pred_no", F.col("track_id"))
-    truth = spark.createDataFrame(truth, "frame_id bigint, gt_no bigint, entity_id bigint, gx1 double, gy1 double, gx2 double, gy2 double")
+    truth = spark.createDataFrame(truth, "frame_id bigint, gt_no bigint, entity_id bigint, gx1 double, gy1 double, gx2 double, gy2 double").withColumn("run_id", F.lit(rows.first().run_id))
     match = evaluation.greedy_matches(evaluation.overlaps(made, truth))
     m = evaluation.metrics(made, truth, match, frames, rows).first()
     assert (m.total_gt_instances, m.true_positives, m.false_positives, m.false_negatives) == (110, 110, 0, 0)

@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from ridgewatch.operators import entities, selection
+from ridgewatch.operators import entities, selection, telemetry, tracking
 from ridgewatch.streaming import live
 
 SELECTION = "run_id bigint, frame_id bigint, ts timestamp, t_s double, sharpness double, motion_score double, similarity_score double"
@@ -68,6 +68,67 @@ def test_live_entities_equal_batch(spark, tmp_path):
     assert seen == want
 
 
+def stamped(df):
+    return df.withColumn("ts", F.timestamp_micros((1_700_000_000_000_000 + F.col("t_ms") * 1000).cast("bigint")))
+
+
+POSED = "run_id bigint, side int, t_ms double, frame_id bigint, lat double, lon double, altitude_agl double, pitch double, roll double, yaw double, ts timestamp"
+
+
+def test_live_pose_equals_batch(spark, tmp_path):
+    rng = random.Random(5)
+    samples = [(run, 1, t, None, 27 + rng.random(), 85 + rng.random(), 50 + rng.random(), -60.0, rng.random(), rng.uniform(0, 360)) for run in (1, 2) for t in (50.0, 90.0, 130.0, 180.0, 900.0, 2500.0)]
+    frames = [(run, 0, float(t), k, *(None,) * 6) for run in (1, 2, 3) for k, t in enumerate((10, 50, 70, 100, 130, 300, 1800, 2600))]
+    df = stamped(spark.createDataFrame(samples + frames, POSED.rsplit(", ", 1)[0]))
+    rows = [tuple(r) for r in df.collect()]
+    rng.shuffle(rows)
+    late = [(99, 0, 0.0, 0, *(None,) * 6, rows[0][-1].replace(year=rows[0][-1].year + k)) for k in (1, 2)]
+    got = streamed(spark, [*rows, *late], POSED, 3, lambda s: live.live_pose(s, 100.0, "1 hour"), tmp_path)
+    asked = df.where("side = 0").select("run_id", "frame_id", F.col("t_ms").alias("pts_ms"))
+    want = telemetry.synchronise(asked, df.where("side = 1").select("run_id", "t_ms", *telemetry.POSE), 100.0)
+    names = ("run_id", "frame_id", *telemetry.POSE, "delta_ms", "is_synced")
+    plain = lambda found: sorted(tuple(r[c] for c in names) for r in found if r.run_id != 99)
+    assert plain(got) == plain(want.collect())
+
+
+MESSAGES = "run_id bigint, msg_id bigint, t_ms double, msg_type string, lat_e7 bigint, lon_e7 bigint, alt_mm bigint, roll_rad double, pitch_rad double, yaw_rad double, ts timestamp"
+
+
+def test_live_fusion_equals_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        kind = rng.choice(["GLOBAL_POSITION_INT", "ATTITUDE", "HEARTBEAT"])
+        place = (277_000_000 + k, 853_000_000, 50_000) if kind == "GLOBAL_POSITION_INT" else (None,) * 3
+        rows.append((k % 2, k, k * 30.0, kind, *place, *((0.1, -1.2, -k / 9) if kind == "ATTITUDE" else (None,) * 3)))
+    df = stamped(spark.createDataFrame(rows, MESSAGES.rsplit(", ", 1)[0]))
+    fed = [tuple(r) for r in df.collect()]
+    rng.shuffle(fed)
+    late = [(99, 0, 0.0, "HEARTBEAT", *(None,) * 6, fed[0][-1].replace(year=fed[0][-1].year + k)) for k in (1, 2)]
+    got = streamed(spark, [*fed, *late], MESSAGES, 3, lambda s: live.live_fusion(s, delay="1 hour"), tmp_path)
+    want = telemetry.fuse_messages(df).collect()
+    plain = lambda found: sorted((r.run_id, r.msg_id, r.t_ms, *(round(r[c], 9) for c in telemetry.POSE)) for r in found if r.run_id != 99)
+    assert plain(got) == plain(want) and len(want) > 10
+
+
+DETECTION = "x1 double, y1 double, x2 double, y2 double, confidence double, class_name string, thermal_delta double"
+
+
+def test_live_tracks_equal_batch(spark, tmp_path):
+    rng = random.Random(7)
+    flight = [(run, k, k * 40.0, [(x, x, x + 30.0, x + 40.0, rng.random(), "human", None) for x in (10.0 + 2 * k, 300.0 - k)][: rng.randint(0, 2)]) for run in (1, 2) for k in range(25)]
+    df = stamped(spark.createDataFrame(flight, f"run_id bigint, frame_id bigint, timestamp_ms double, detections array<struct<{DETECTION.replace(' ', ':').replace(',:', ',')}>>").withColumn("t_ms", F.col("timestamp_ms"))).drop("t_ms")
+    fed = [tuple(r) for r in df.collect()]
+    rng.shuffle(fed)
+    late = [(99, 0, 0.0, [], fed[0][-1].replace(year=fed[0][-1].year + k)) for k in (1, 2)]
+    settings = tracking.TrackerSettings(legacy_lost=False)
+    got = streamed(spark, [*fed, *late], df.schema, 3, lambda s: live.live_tracks(s, settings, "1 hour"), tmp_path)
+    plain = df.select("run_id", "frame_id", "timestamp_ms", F.posexplode_outer("detections").alias("det_no", "d")).select("run_id", "frame_id", "timestamp_ms", "det_no", "d.*")
+    want = tracking.track(plain, settings).collect()
+    key = lambda found: sorted((r.run_id, r.frame_id, r.track_id, r.hits, r.status, r.x1, r.y2) for r in found if r.run_id != 99)
+    assert key(got) == key(want) and len(want) > 30
+
+
 def test_top_level_fields():
     assert live._top_level("a int, b array<struct<c:int,d:int>>, e map<string,int>") == ["a int", "b array<struct<c:int,d:int>>", "e map<string,int>"]
 
