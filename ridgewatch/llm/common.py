@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPACES = b" \t\n\x0b\x0c\r"
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 500
+#: Rows of an Arrow batch: texts make batches large, and executors hold some for each task, in and out.
+BATCH_ROWS = 1000
 #: Row groups of stored tables: a writer holds one, and texts make them large.
 ROW_GROUP_BYTES = 32 << 20
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -33,11 +36,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it actions pass at most BATCH_ROWS rows at once to workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared store and reads it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    with small_batches(spark):
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
