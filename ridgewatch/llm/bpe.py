@@ -22,12 +22,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgewatch.llm.common import map_batches
+from ridgewatch.llm.common import map_batches, store
 
 #: Bounds of a worker's memo tables; a full table starts anew, results don't depend on them.
 PIECE_MEMO, PAIR_MEMO = 400_000, 600_000
@@ -174,6 +173,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, pattern: str) -> None:
+        import tiktoken  # only here: workers of the codec needn't hold it
+
         self.path, self.pattern, ranks = path, pattern, load_ranks(path)
         self.fast = tiktoken.Encoding("ridgewatch", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         #: The first id above the vocabulary.
@@ -247,9 +248,10 @@ def round_trip(
 def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: n_tokens, the digest of its ids and that of the bytes decoded from them."""
     coded = round_trip(documents.select("doc_id", "text"), path, pattern)
-    return coded.select(
+    digests = coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return store(digests, "token-digests")
