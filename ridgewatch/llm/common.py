@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPACES = b" \t\n\x0b\x0c\r"
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 500
-#: Rows of an Arrow batch: texts make batches large, and executors hold some for each task, in and out.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: executors hold some for each task, in and out, and long texts or packed rows make
+#: batches large. A single row may be longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Row groups of stored tables: a writer holds one, and texts make them large.
 ROW_GROUP_BYTES = 32 << 20
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,14 +39,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it actions pass at most BATCH_ROWS rows at once to workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    """Within it actions pass at most BATCH_ROWS rows and, beyond a single row, BATCH_BYTES at once to workers."""
+    most = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+        "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+    }
+    before = {name: spark.conf.get(name) for name in most}
+    for name, value in before.items():
+        number = 0 if value.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+        spark.conf.set(name, str(min(number, most[name]) if number > 0 else most[name]))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ from ridgewatch.llm.common import LOWER_ASCII, discard, fresh, give_back_memory,
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-FRAGMENT_TOKENS, CHUNK_TOKENS, GROUP_TOKENS, BLOCK_TOKENS = 4_000_000, 1_000_000, 1_000_000, 250_000
+FRAGMENT_TOKENS, CHUNK_TOKENS, GROUP_TOKENS, BLOCK_TOKENS = 2_000_000, 1_000_000, 1_000_000, 250_000
 #: Partitions that fragments are shuffled into at most; results don't depend on it.
 MOST_TASKS = 50_000
 _FACTORS = np.array([0x9E3779B97F4A7C15 * k | 1 for k in range(3, 99, 2)], dtype=object) % (1 << 64)
