@@ -29,7 +29,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewatch.llm.common import fresh, scratch_dir
+from ridgewatch.llm.common import fresh, scratch_dir, store
+
+#: Buckets of blob ids by which texts without findings are told; at most so many numbers are broadcast (about 25 MB).
+BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -248,18 +251,28 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, finish)).otherwise(text)
 
 
+def _bucket(blob: Column) -> Column:
+    return F.pmod(F.xxhash64(blob), F.lit(BUCKETS))
+
+
 def without_secrets(documents: DataFrame, ledger_folder: str | None = None) -> DataFrame:
-    """documents with every span of their texts replaced; n_chars follows the text."""
+    """documents with every span of their texts replaced; n_chars follows the text.
+
+    Texts whose bucket has no blob with findings stay where they are; only the others may be dealt by their hash.
+    """
     spark = documents.sparkSession
     ledger = Ledger(spark, ledger_folder or scratch_dir(spark, "secret-ledger"))
     update(documents.select(F.col("text").alias("content")), ledger)
-    blob, found, new = (fresh(documents, stem) for stem in ("of_blob", "found_spans", "new_text"))
-    spans = spans_of_blobs(ledger).select(F.col("blob").alias(blob), F.col("spans").alias(found))
-    met = documents.join(spans, blob_id(documents["text"]) == F.col(blob), "left")
+    blob, found, new, bucket = (fresh(documents, stem) for stem in ("of_blob", "found_spans", "new_text", "of_bucket"))
+    spans = store(spans_of_blobs(ledger).select(F.col("blob").alias(blob), F.col("spans").alias(found)), "secret-spans")
+    own = blob_id(documents["text"])
+    buckets = F.broadcast(spans.select(_bucket(F.col(blob)).alias(bucket)).distinct())
+    some, others = (documents.join(buckets, _bucket(own) == F.col(bucket), how) for how in ("left_semi", "left_anti"))
+    met = some.join(spans, own == F.col(blob), "left")
     none = F.array().cast(spans.schema[found].dataType)
     out = met.withColumn(new, redacted(F.col("text"), F.coalesce(found, none)))
     kept = {"text": F.col(new).alias("text")}
     if "n_chars" in documents.columns:
         count = F.when(F.size(found) > 0, F.char_length(new).cast("bigint")).otherwise(F.col("n_chars"))
         kept["n_chars"] = count.cast(documents.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[kept.get(c, F.col(f"`{c}`")) for c in documents.columns])
+    return out.select(*[kept.get(c, F.col(f"`{c}`")) for c in documents.columns]).union(others)

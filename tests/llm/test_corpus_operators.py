@@ -218,6 +218,15 @@ def test_redaction(spark):
     assert secrets.without_secrets(df).columns == df.columns and secrets.without_secrets(df.limit(0)).count() == 0
 
 
+def test_redaction_of_copies_in_shared_buckets(spark, monkeypatch):
+    rows = [(k, f"text {k % 9} " + ("f" * 24 if k % 3 else ""), 5) for k in range(60)] + [(7, "text 7 " + "f" * 24, 5)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    expected = sorted((k, t.replace("f" * 24, "[hex]"), len(t) - 19 if "f" * 24 in t else n) for k, t, n in rows)
+    for buckets in (1, 4, secrets.BUCKETS):
+        monkeypatch.setattr(secrets, "BUCKETS", buckets)
+        assert sorted(map(tuple, secrets.without_secrets(df).collect())) == expected
+
+
 def test_secret_query(spark):
     texts = {r.doc_id: r.text for r in documents(spark).collect()}
     for row in QUERIES["op1_secret_scan"](spark, SF).collect():
