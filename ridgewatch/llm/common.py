@@ -19,6 +19,8 @@ SLICE_ROWS = 500
 #: Rows and bytes of an Arrow batch: executors hold some for each task, in and out, and long texts or packed rows make
 #: batches large. A single row may be longer.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows that a Parquet reader decodes at once, into arrays that it doubles when texts or lists outgrow them.
+READ_ROWS = 512
 #: Row groups of stored tables: a writer holds one, and texts make them large.
 ROW_GROUP_BYTES = 32 << 20
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -39,10 +41,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it actions pass at most BATCH_ROWS rows and, beyond a single row, BATCH_BYTES at once to workers."""
+    """Within it actions read at most READ_ROWS rows at once, and pass at most BATCH_ROWS and, beyond a single row,
+    BATCH_BYTES at once to workers."""
     most = {
         "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
         "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+        "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS,
     }
     before = {name: spark.conf.get(name) for name in most}
     for name, value in before.items():
