@@ -102,17 +102,22 @@ def set_ids(documents: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return map_batches(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, mark bigint, n bigint, sid binary")
 
 
-# A packed segment row holds some n-grams of many sets: a key for each set (KEY_BYTES of its id), runs (how many n-grams
-# follow for it, 2 bytes) and grams. Only the collecting parts need whole ids and sizes, so these come once for each set
-# and chunk, in directory rows without runs. part says where a row goes: fragments first, then as many collecting parts.
-_SEGMENTS = "part int, sids binary, sizes binary, runs binary, grams binary"
-_NAMES = ["part", "sids", "sizes", "runs", "grams"]
+# A packed segment row holds some n-grams of many sets: a key for each set, runs (how many n-grams follow for it, 1 byte)
+# and grams. A set that several rows have may come from several chunks, so its key is KEY_BYTES of its id. Any other set
+# comes from one chunk only: its key is the chunk's name, which a row holds once, and its number there (LOCAL_BYTES), so
+# that however few n-grams a set has in a fragment, its key costs less than they do. Only the collecting parts need whole
+# ids and sizes, so these come once for each set and chunk, in directory rows, which have sizes (and, once collected, the
+# keys as grams). part says where a row goes: fragments first, then as many collecting parts.
+_SEGMENTS = "part int, sids binary, sizes binary, runs binary, grams binary, chunk binary"
+_NAMES = ["part", "sids", "sizes", "runs", "grams", "chunk"]
 #: Ranges of the global order in which a pair's overlap is counted.
 PAIR_FRAGMENTS = 4
 #: Pieces in which a task goes through its fragment.
 SLICES = 4
-#: 80 bits: with 10**10 sets, two share a key with a chance of 4 in 100,000; then the collecting part stops the job.
-KEY_BYTES, LONGEST_RUN = 10, (1 << 16) - 1
+#: Keys have 80 bits: with 10**10 sets, two share one with a chance of 4 in 100,000; then the collecting part stops the job.
+KEY_BYTES, LOCAL_BYTES, LONGEST_RUN = 10, 2, 255
+#: Bits at most of the map of sets that several rows have (8 MB). Where it is full, more sets have keys of their ids.
+MOST_BITS = 1 << 26
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -120,12 +125,14 @@ def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def _collector(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The collecting part of each set. keys: n x 2 numbers, of which the first are the ids' first 8 bytes."""
-    return (keys[:, 0] % np.uint64(parts)).astype(np.int64)
+    """The collecting part of each set. keys: n x 2 numbers."""
+    with np.errstate(over="ignore"):
+        return (_mix(keys[:, 0] + keys[:, 1] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
 
 
-def _pack(part: int, keys: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> tuple:
-    """owner: for each n-gram the row of its set in keys; equal owners are next to each other."""
+def _pack(part: int, keys: np.ndarray, owner: np.ndarray, grams: np.ndarray, chunk: bytes = b"") -> tuple:
+    """owner: for each n-gram the row of its set in keys; equal owners are next to each other. chunk: the name of the one
+    that all these sets come from, if they have such keys."""
     starts = np.nonzero(np.diff(owner, prepend=-1))[0]
     own, runs = owner[starts], np.diff(np.append(starts, len(owner)))
     pieces = -(-runs // LONGEST_RUN)
@@ -134,12 +141,13 @@ def _pack(part: int, keys: np.ndarray, owner: np.ndarray, grams: np.ndarray) ->
         ends = np.cumsum(pieces) - 1
         runs = np.full(len(own), LONGEST_RUN)
         runs[ends] = rest
-    return part, keys.view(np.uint8)[own, :KEY_BYTES].tobytes(), b"", runs.astype("<u2").tobytes(), grams.tobytes()
+    packed = keys.view(np.uint8)[own, len(chunk) : KEY_BYTES].tobytes()
+    return part, packed, b"", runs.astype(np.uint8).tobytes(), grams.tobytes(), chunk
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    columns = list(zip(*rows)) if rows else [()] * 5
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    columns = list(zip(*rows)) if rows else [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _NAMES)
 
 
@@ -162,14 +170,38 @@ def _wide(packed: bytes, size: int, to: int) -> np.ndarray:
     return out.view("<u8")
 
 
-def _cut_chunk(sets: dict[bytes, np.ndarray], fragments: int) -> list[tuple]:
-    """Segment rows of a chunk's sets.
+def repeated_sets(ids: DataFrame, rows: int) -> bytes:
+    """A map of the sets that several rows of set_ids have: _bit() of each is set, of others some may be."""
+    bits = min(MOST_BITS, 1 << max(15, (16 * rows).bit_length()))
+    bit = F.conv(F.hex(F.substring("sid", 1, 4)), 16, 10).cast("bigint").bitwiseAND(bits - 1)
+    some = ids.where("sid is not null").groupBy("sid").agg(F.count("*").alias("k")).where("k > 1").select(bit.alias("bit"))
+    # Each of the pieces has 2**15 bits.
+    place = (F.col("bit") % (1 << 15)).alias("place")
+    pieces = some.select(F.shiftright("bit", 15).alias("piece"), place).groupBy("piece").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    out = bytearray(bits // 8)
+    for piece, bitmap in pieces.collect():
+        out[piece << 12 : (piece + 1) << 12] = bitmap
+    return bytes(out)
+
+
+def _bit(sids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the map has each set. sids: n x 2 numbers."""
+    at = np.ascontiguousarray(sids).view(np.uint8).reshape(-1, 16)[:, :4].copy().view(">u4").reshape(-1).astype(np.int64) % (8 * len(bitmap))
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _cut_chunk(sets: dict[bytes, np.ndarray], fragments: int, bitmap: np.ndarray) -> list[tuple]:
+    """Segment rows of a chunk's sets. bitmap: of repeated_sets().
 
     N-grams that two sets of the chunk have are shared, so each goes to its fragment once (with no set, to mark it
     for other chunks) and straight to the collecting parts of its sets.
     """
     sids = np.frombuffer(b"".join(sets), dtype="<u8").reshape(-1, 2)
     sizes = np.array([len(s) for s in sets.values()])
+    chunk = xxhash.xxh3_64_intdigest(sids.tobytes())
+    keys, own_key = _cut_keys(sids), _bit(sids, bitmap)
+    keys[~own_key, 0], keys[~own_key, 1] = chunk, np.nonzero(~own_key)[0]
+    kinds = ((own_key, b""), (~own_key, chunk.to_bytes(8, "little")))
     grams, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
     distinct, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
     shared = counts[inverse] > 1
@@ -180,20 +212,24 @@ def _cut_chunk(sets: dict[bytes, np.ndarray], fragments: int) -> list[tuple]:
     order = np.argsort(place, kind="stable")
     for part, start, end in _bounds(place[order].astype(np.int64)):
         mine = order[start:end]
-        rows.append(_pack(part, sids, single_owner[mine], _low(single[mine])))
+        for kind, name in kinds:
+            if len(some := mine[kind[single_owner[mine]]]):
+                rows.append(_pack(part, keys, single_owner[some], _low(single[some]), name))
     for part, start, end in _bounds(known_place.astype(np.int64)):
-        rows.append((part, b"", b"", b"", _low(known[start:end]).tobytes()))
+        rows.append((part, b"", b"", b"", _low(known[start:end]).tobytes(), b""))
     common, common_owner = grams[shared], owner[shared]
-    collector = _collector(sids, fragments)
+    collector = _collector(keys, fragments)
     place = collector[common_owner]
     order = np.argsort(place, kind="stable")
     for part, start, end in _bounds(place[order]):
         mine = order[start:end]
-        rows.append(_pack(fragments + part, sids, common_owner[mine], common[mine]))
+        for kind, name in kinds:
+            if len(some := mine[kind[common_owner[mine]]]):
+                rows.append(_pack(fragments + part, keys, common_owner[some], common[some], name))
     order = np.argsort(collector, kind="stable")
     for part, start, end in _bounds(collector[order]):
         mine = order[start:end]
-        rows.append((fragments + part, sids[mine].tobytes(), sizes[mine].astype("<u4").tobytes(), b"", b""))
+        rows.append(_directory_row(fragments + part, keys[mine], sids[mine], sizes[mine]))
     return rows
 
 
@@ -216,10 +252,18 @@ def _unique_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np
     return first[keep], second[keep]
 
 
+def _keys_of(packed: bytes, chunk: bytes) -> np.ndarray:
+    """The keys of a row, n x 2 numbers."""
+    if not chunk:
+        return _wide(packed, KEY_BYTES, 16)
+    number = np.frombuffer(packed, dtype=f"<u{LOCAL_BYTES}").astype(np.uint64)
+    return np.stack([np.full(len(number), int.from_bytes(chunk, "little"), dtype=np.uint64), number], axis=1)
+
+
 def _unpack(rows: list[tuple], gram_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of segment rows of one part: the distinct keys, and for each n-gram the row of its set and itself."""
-    keys = _wide(b"".join(r[1] for r in rows), KEY_BYTES, 16)
-    runs = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u2")
+    keys = np.concatenate([_keys_of(r[1], r[5]) for r in rows])
+    runs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
     first, number = _distinct_rows(keys)
     grams = _wide(b"".join(r[4] for r in rows), gram_bytes, 8).reshape(-1)
     return keys[first], np.repeat(number, runs), grams
@@ -281,12 +325,20 @@ def _rename(grams: np.ndarray, fragments: int) -> np.ndarray:
     return _named(grams & np.uint64((1 << 48) - 1), _fragment(grams, fragments))
 
 
-def _directory(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct sets of directory rows, sorted by key, and their sizes."""
+def _directory_row(part: int, keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray) -> tuple:
+    packed = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 16)[:, :KEY_BYTES].tobytes()
+    return part, sids.tobytes(), sizes.astype("<u4").tobytes(), b"", packed, b""
+
+
+def _directory(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of directory rows, sorted, with their sets' ids and sizes."""
+    keys = _wide(b"".join(r[4] for r in rows), KEY_BYTES, 16)
     sids = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u8").reshape(-1, 2)
     sizes = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4")
-    first, _ = _distinct_rows(sids)
-    return sids[first], sizes[first]
+    first, number = _distinct_rows(keys)
+    if (sids[first][number] != sids).any():
+        raise ValueError("two sets share a key: raise KEY_BYTES")
+    return keys[first], sids[first], sizes[first]
 
 
 def _cut_keys(sids: np.ndarray) -> np.ndarray:
@@ -327,13 +379,17 @@ def _dealt(df: DataFrame, parts: int) -> DataFrame:
     return dealt.sortWithinPartitions("part")
 
 
-def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, text: str) -> DataFrame:
-    """The sets that may link: sid, n, own (n-grams that no other set has) and grams, the others in their order."""
+def shared_sets(documents: DataFrame, total: int, repeated: bytes, size: int, similarity: int, text: str) -> DataFrame:
+    """The sets that may link: sid, n, own (n-grams that no other set has) and grams, the others in their order.
+
+    total: the sizes of all rows' sets; repeated: the map of repeated_sets().
+    """
     fragments = max(1, -(-total // FRAGMENT_TOKENS))
     texts = documents.select(F.col(text).cast("string").alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(repeated)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, tokens = {}, 0
+        sets, tokens, bitmap = {}, 0, np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 for data in utf8(batch.column(0).slice(start, 200)):
@@ -341,38 +397,34 @@ def shared_sets(documents: DataFrame, total: int, size: int, similarity: int, te
                     if len(grams) and (sid := set_id(grams)) not in sets:
                         sets[sid] = grams
                         tokens += len(grams)
-                    if tokens >= CHUNK_TOKENS:
-                        yield _batch(_cut_chunk(sets, fragments))
+                    if tokens >= CHUNK_TOKENS or len(sets) == 1 << 8 * LOCAL_BYTES:
+                        yield _batch(_cut_chunk(sets, fragments, bitmap))
                         sets, tokens = {}, 0
         if sets:
-            yield _batch(_cut_chunk(sets, fragments))
+            yield _batch(_cut_chunk(sets, fragments, bitmap))
         give_back_memory()
 
     def count(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if part < fragments:
             yield _batch(_count_fragment(part, rows, fragments))
             return
-        sids, sizes = _directory([r for r in rows if r[2]])
-        out = [(part, sids.tobytes(), sizes.tobytes(), b"", b"")]
+        out = [_directory_row(part, *_directory([r for r in rows if r[2]]))]
         if common := [r for r in rows if not r[2]]:
             keys, owner, grams = _unpack(common, 8)
             out.append(_pack(part, keys, *_unique_pairs(owner, _rename(grams, fragments))))
         yield _batch(out)
 
     def collect(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sids, sizes = _directory([r for r in rows if r[2]])
+        names, sids, sizes = _directory([r for r in rows if r[2]])
         out = []
         if shared := [r for r in rows if not r[2]]:
             keys, owner, grams = _unpack(shared, 8)
-            # Every key is that of a set in the directory; both are sorted, so the sets with n-grams line up.
-            first, number = _distinct_rows(_cut_keys(sids))
-            if len(first) < len(sids):
-                raise ValueError("two sets share a key: raise KEY_BYTES")
-            sids, sizes = sids[first], sizes[first]
-            _, both = _distinct_rows(np.concatenate([_cut_keys(sids), keys]))
-            at = np.empty(both.max() + 1, dtype=np.int64)
+            _, both = _distinct_rows(np.concatenate([names, keys]))
+            at = np.full(both.max() + 1, -1, dtype=np.int64)
             at[both[: len(sids)]] = np.arange(len(sids))
             row_of = at[both[len(sids) :]]
+            if (row_of < 0).any():
+                raise ValueError("n-grams of a set that no chunk named: the rows came in another order when read again")
             owner, grams = _unique_pairs(row_of[owner], grams)
             for row, start, end in _bounds(owner):
                 n = int(sizes[row])
@@ -641,9 +693,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def _prepared(documents: DataFrame, size: int, similarity: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """set_ids of all rows and shared_sets of those with a key, stored."""
     ids = store(set_ids(documents, size, key, text), "ngram-ids")
-    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, rows = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    repeated = repeated_sets(ids, rows)
     linkable = documents.where(F.col(key).isNotNull())
-    return ids, store(shared_sets(linkable, total, size, similarity, text), "ngram-sets")
+    return ids, store(shared_sets(linkable, total, repeated, size, similarity, text), "ngram-sets")
 
 
 def classes(documents: DataFrame, size: int, similarity: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:

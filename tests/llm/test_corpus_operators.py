@@ -101,6 +101,35 @@ def test_link_counts_equal_brute_force(spark, monkeypatch, tokens):
     assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted(wanted)
 
 
+def test_keys_cost_less_than_n_grams(spark):
+    sets = {ngram_join.set_id(g): g for g in (ngram_join.ngrams(f"{' '.join(f'k{k}w{j}' for j in range(300))}".encode()) for k in range(300))}
+    copies = ngram_join.repeated_sets(spark.createDataFrame([(bytearray(s),) for s in [*sets, *list(sets)[:40]]], "sid binary"), 340)
+    bitmap, grams = np.frombuffer(copies, dtype=np.uint8), sum(map(len, sets.values()))
+    own_key = ngram_join._bit(np.frombuffer(b"".join(sets), dtype="<u8").reshape(-1, 2), bitmap)
+    assert own_key[:40].all() and own_key[40:].mean() < 0.2
+    rows = [r for r in ngram_join._cut_chunk(sets, 300, bitmap) if r[0] < 300]
+    assert sum(len(r[4]) for r in rows) == 6 * grams
+    assert sum(len(r[1]) + len(r[3]) for r in rows) < 5 * grams
+    keys = [ngram_join._unpack([r for r in rows if r[0] == part], 6)[0] for part in {r[0] for r in rows}]
+    assert len(np.unique(np.concatenate(keys), axis=0)) == len(sets)
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_copies_in_many_chunks(spark, monkeypatch, full):
+    monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", 150)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_TOKENS", 400)
+    if full:  # all keys are of ids
+        monkeypatch.setattr(ngram_join, "repeated_sets", lambda ids, rows: b"\xff")
+    rng, rows = random.Random(6), []
+    for k in range(120):
+        words = [f"g{k % 40}w{j}" for j in range(640 if k == 5 else 40)]
+        if k % 4 == 3:
+            words[rng.randrange(40)] = "other"
+        rows.append((k, " ".join(words)))
+    rng.shuffle(rows)
+    assert near(spark, rows) == components(rows)
+
+
 def test_similarity_bound_is_exact(spark):
     base = [f"w{k}" for k in range(94)]
     rows = [(1, " ".join(base)), (2, " ".join(base[10:])), (3, " ".join(base[19:])), (4, " ".join([*base[18:], "x"]))]
