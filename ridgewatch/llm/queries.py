@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgewatch.llm import (
-    bpe, chat, decontaminate, license_scan, ngram_join, pii, quality_model, quality_rules, secrets, token_output,
+    bpe, byte_grams, chat, decontaminate, license_scan, ngram_join, pii, quality_model, quality_rules, secrets, token_output,
 )
 from ridgewatch.llm.common import table
 from ridgewatch.llm.oracles import ORACLES
@@ -73,7 +73,7 @@ def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), byte_grams.METHOD)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
