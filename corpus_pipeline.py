@@ -9,14 +9,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgewatch.llm import bpe, decontaminate, ngram_join, quality_rules, secrets
+from ridgewatch.llm import bpe, byte_grams, decontaminate, ngram_join, quality_rules, secrets
 from ridgewatch.llm.common import store, table
 from ridgewatch.llm.queries import RANKS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_good(docs, byte_grams.METHOD)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
