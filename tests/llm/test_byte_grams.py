@@ -163,7 +163,8 @@ def test_pipeline_stage_tells_bytes_apart(spark):
     rng = random.Random(6)
     vocabulary = ["the", "house", "stands", "on", "a", "hill", "near", "water", "in", "by"]
     good = [(k, "en", " ".join(rng.choice(vocabulary) for _ in range(80))) for k in range(80)]
-    df = spark.createDataFrame([*good, (500, "en", good[0][2].upper())], COLUMNS)
+    mixed = "".join(rng.choice((c, c.upper())) for c in good[0][2])
+    df = spark.createDataFrame([*good, (500, "en", mixed)], COLUMNS)
     left = {r.doc_id for r in corpus_pipeline.quality_stage(spark, df, SF).collect()}
     assert 500 not in left and left == {r.doc_id for r in quality_rules.verdicts(df, byte_grams.METHOD).where("kept").collect()}
     assert 500 in {r.doc_id for r in quality_rules.keep_good(df).collect()}  # the classes take it for its lower case
